@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def registered() -> dict:
     """name -> (callable(spark, sf_dir), SQL or None)"""
-    from wattlink.checks import association
+    from wattlink.checks import addresses, association, registry
 
     out = {}
-    for module in (association,):
+    for module in (association, addresses, registry):
         out.update(module.QUERIES)
     return out

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, functions as F
 
 from wattlink.functions.measure import format_number, power_type
-from wattlink.functions.text import is_empty, join_non_empty, strip
+from wattlink.functions.text import is_empty, join_non_empty, let, strip
 
 
 def document(text: Column) -> Column:
@@ -34,9 +34,11 @@ def value_at(doc: Column, path: str | None, as_type: str = "variant") -> Column:
 
 def as_text(v: Column) -> Column:
     """A variant as text. Truth values print as True / False, JSON null is null."""
-    kind = F.schema_of_variant(v)
-    plain = F.try_variant_get(v, "$", "string")
-    return F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+    def printed(v: Column) -> Column:
+        plain = F.try_variant_get(v, "$", "string")
+        return F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+
+    return let(v, printed)
 
 
 def mapped_text(doc: Column, entry) -> Column:
@@ -54,8 +56,7 @@ def mapped_text(doc: Column, entry) -> Column:
 
 
 def _first(doc: Column, paths: list[str]) -> Column:
-    values = [as_text(value_at(doc, p)) for p in paths]
-    return F.coalesce(*[F.when(~is_empty(v), v) for v in values])
+    return F.coalesce(*[let(as_text(value_at(doc, p)), lambda v: F.when(~is_empty(v), v)) for p in paths])
 
 
 def mapped_power_type(doc: Column, entry, lookup: dict[str, str]) -> Column:
@@ -71,21 +72,22 @@ def mapped_power_type(doc: Column, entry, lookup: dict[str, str]) -> Column:
     if len(chosen) > 1:
         chosen = [F.coalesce(*[F.when(~is_empty(as_text(v)), v) for v in chosen])]
     value = chosen[0]
-    items = F.try_variant_get(value, "$", "array<variant>")
-    from_list = F.try_element_at(
-        F.filter(F.transform(items, lambda v: power_type(_code_text(v), lookup)), lambda t: t.isNotNull()), F.lit(1)
-    )
-    return F.when(items.isNotNull(), from_list).otherwise(power_type(_code_text(value), lookup))
+    # a single value is read as a list of one
+    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    resolved = F.transform(items, lambda v: power_type(_code_text(v), lookup))
+    return F.get(F.filter(resolved, lambda t: t.isNotNull()), F.lit(0))
 
 
 def _code_text(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
-    return F.when(numeric, format_number(F.try_variant_get(v, "$", "double"))).otherwise(
-        F.try_variant_get(v, "$", "string")
-    )
+    def by_kind(kind: Column) -> Column:
+        numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
+        return F.when(numeric, format_number(F.try_variant_get(v, "$", "double"))).otherwise(
+            F.try_variant_get(v, "$", "string")
+        )
+
+    return let(F.schema_of_variant(v), by_kind)
 
 
 def clean_field(c: Column) -> Column:
     """Stripped text, null when empty."""
-    return F.when(~is_empty(c), strip(c))
+    return let(strip(c), lambda t: F.when(~F.lower(t).isin("", "null", "none"), t))

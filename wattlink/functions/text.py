@@ -21,6 +21,12 @@ def text(c) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """`body(v)` with v evaluated once. Written out, a value used n times is copied n times, and
+    nested rules grow past what the code generator compiles."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c, space: str = PY_SPACE) -> Column:
     """Remove whitespace at both ends."""
     return F.regexp_replace(text(c), rf"^{space}+|{space}+\z", "")
@@ -46,8 +52,8 @@ def first_non_empty(*cols: Column) -> Column:
 
 def join_non_empty(cols: list[Column], separator: str = "") -> Column:
     """Join what is not empty, each part stripped; null when nothing is left."""
-    kept = [F.when(~is_empty(c), strip(c)) for c in cols]
-    return F.when(F.coalesce(*kept).isNotNull(), F.concat_ws(separator, *kept))
+    kept = F.filter(F.array(*[strip(c) for c in cols]), lambda t: ~F.lower(t).isin("", "null", "none"))
+    return let(kept, lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, separator)))
 
 
 def join_parts(cols: list[Column]) -> Column:
