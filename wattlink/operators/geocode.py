@@ -8,7 +8,7 @@ from wattlink import constants as K, schemas
 from wattlink.functions.documents import as_text, document, value_at
 from wattlink.functions.measure import level_confidence
 from wattlink.functions.text import blank_to_null, join_parts, strip, text
-from wattlink.operators.ranking import first_per_key
+from wattlink.operators.ranking import computed_once, first_per_key
 from wattlink.session import durable
 
 ROW_KEY = ["地区", "社会统一信用代码", "企业名称", "标准化地址"]
@@ -44,7 +44,12 @@ def candidate_queries() -> Column:
 
 def address_fingerprint() -> Column:
     """Rows with the same address parts share one cascade."""
-    return F.sha2(F.to_json(F.array(*[strip(c) for c in ADDRESS_KEY])), 256)
+    return F.coalesce(F.sha2(F.to_json(F.array(*[strip(c) for c in ADDRESS_KEY])), 256), F.lit(""))
+
+
+def _with_cascade(structured: DataFrame) -> DataFrame:
+    """Add the fingerprint `_fp` and the candidate array `_cands`."""
+    return computed_once(structured, _fp=address_fingerprint(), _cands=candidate_queries())
 
 
 def geocode_candidates(structured: DataFrame, keep: list[str]) -> DataFrame:
@@ -56,9 +61,7 @@ def geocode_candidates(structured: DataFrame, keep: list[str]) -> DataFrame:
 
 def _attempts(structured: DataFrame, cache: DataFrame) -> DataFrame:
     """Every candidate of every distinct address with its cache entry, if there is one."""
-    distinct = structured.select(
-        address_fingerprint().alias("_fp"), candidate_queries().alias("_cands")
-    ).dropDuplicates(["_fp"])
+    distinct = _with_cascade(structured).select("_fp", "_cands").dropDuplicates(["_fp"])
     tried = distinct.select("_fp", F.explode("_cands").alias("c")).select("_fp", "c.*")
     answers = cache.select(
         "query", F.coalesce("status", F.lit("")).alias("status"), "message", "lon", "lat", F.lit(True).alias("cached")
@@ -90,7 +93,7 @@ def geocode_resolve(structured: DataFrame, cache: DataFrame) -> DataFrame:
         F.when(F.col("success"), "success").otherwise("failed").alias("地理编码状态"),
         text("message").alias("地理编码消息"),
     )
-    rows = structured.drop(*K.GEOCODE_COLUMNS).withColumn("_fp", address_fingerprint())
+    rows = computed_once(structured.drop(*K.GEOCODE_COLUMNS), _fp=address_fingerprint())
     fallback = {c: "" for c in K.GEOCODE_COLUMNS} | {
         "地理编码状态": "failed", "地理编码消息": K.NO_CANDIDATE_MESSAGE,
     }
@@ -110,9 +113,9 @@ def geocode_pending(structured: DataFrame, cache: DataFrame) -> DataFrame:
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Landed geocoder responses (query, http_status, body) to cache entries."""
-    doc = document(F.col("body"))
+    doc = F.col("_doc")
     at = lambda path: as_text(value_at(doc, path))
-    r = responses.select(
+    r = computed_once(responses, _doc=document(F.col("body"))).select(
         "query", "http_status", "body", doc.isNotNull().alias("_ok"),
         F.coalesce(at("status"), F.when(value_at(doc, "status").isNotNull(), "None"), F.lit("")).alias("_status"),
         F.coalesce(at("msg"), F.when(value_at(doc, "msg").isNotNull(), "None"), F.lit("")).alias("_msg"),
@@ -155,8 +158,7 @@ def enrich_cache(cache: DataFrame, structured: DataFrame, row_no: str) -> DataFr
         "original_address": "原始地址片段", "standard_address": "标准化地址", "company_name": "企业名称",
         "site_name": "站点名称", "region": "地区", "power_type": "发电类型",
     }
-    rows = structured.select(row_no, *[strip(c).alias(name) for name, c in about.items()],
-                             candidate_queries().alias("_cands"), address_fingerprint().alias("_fp"))
+    rows = _with_cascade(structured).select(row_no, "_cands", "_fp", *[strip(c).alias(n) for n, c in about.items()])
     attempts = _attempts(structured, cache)
     stop = attempts.where("success").groupBy("_fp").agg(F.min("rank").alias("_stop"))
     asked = (
@@ -180,7 +182,7 @@ def enrich_cache(cache: DataFrame, structured: DataFrame, row_no: str) -> DataFr
 
 def skip_processed(rows: DataFrame, done: DataFrame, row_no: str | None = None) -> DataFrame:
     """Rows not yet in `done` by their key columns; repeated keys in the input keep the first."""
-    keyed = rows.withColumns({f"_k{i}": strip(c) for i, c in enumerate(ROW_KEY)})
+    keyed = computed_once(rows, **{f"_k{i}": strip(c) for i, c in enumerate(ROW_KEY)})
     keys = [f"_k{i}" for i in range(len(ROW_KEY))]
     order = [F.col(row_no)] if row_no else [F.col(c) for c in rows.columns]
     first = first_per_key(keyed, keys, order)

@@ -66,6 +66,12 @@ def _shifted(placed: DataFrame, groups: list[str], name: str, start: int) -> Dat
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a one-row generator. The optimizer copies an expression into every
-    filter and join key derived from it, but does not move anything across a generator."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    """Add columns behind a one-row generator; without columns, all of `df` goes through it.
+
+    The optimizer copies an expression into every filter and join key derived from it, and again
+    for every stage below, but it does not move anything across a generator.
+    """
+    if not columns:
+        return df.select(F.inline(F.array(F.struct(*df.columns))))
+    added = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], added)

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from wattlink import constants as K
 from wattlink.functions.documents import as_text, document, value_at
 from wattlink.functions.text import blank_to_null, strip, text
+from wattlink.operators.ranking import computed_once
 
 
 def parse_reverse(responses: DataFrame) -> DataFrame:
     """Answers (lng, lat, body) to (lng, lat, poi): the first place name if any place is listed,
     else the address component's poi, town or county; '' where the lookup failed."""
-    doc = document(F.col("body"))
+    doc = F.col("_doc")
     named = lambda path: strip(as_text(value_at(doc, path)))
     pois = value_at(doc, "result.pois", "array<variant>")
     component = F.coalesce(*[
@@ -21,7 +22,7 @@ def parse_reverse(responses: DataFrame) -> DataFrame:
     poi = F.when(F.coalesce(as_text(value_at(doc, "status")), F.lit("")) != "0", "").when(
         F.size(pois) > 0, named("result.pois.0.name")
     ).otherwise(text(component))
-    return responses.select(strip("lng").alias("lng"), strip("lat").alias("lat"), text(poi).alias("poi"))
+    return computed_once(responses, _doc=document(F.col("body"))).select(strip("lng").alias("lng"), strip("lat").alias("lat"), text(poi).alias("poi"))
 
 
 def pending_lookups(points: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def reverse_poi(points: DataFrame, lookup: DataFrame) -> DataFrame:
     missing = [c for c in K.POI_INPUT_COLUMNS if c not in points.columns]
     if missing:
         raise ValueError(f"缺少字段: {', '.join(missing)}")
-    p = points.select(*[strip(c).alias(c) for c in K.POI_INPUT_COLUMNS])
+    p = computed_once(points.select(*[strip(c).alias(c) for c in K.POI_INPUT_COLUMNS]))
     asked = (F.col("经度") != "") & (F.col("纬度") != "")
     # blank coordinates are a hot key that can never match: they get no join key
     p = p.withColumns({"_lng": F.when(asked, F.col("经度")), "_lat": F.when(asked, F.col("纬度"))})

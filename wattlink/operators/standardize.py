@@ -9,6 +9,7 @@ from wattlink.functions import address as A
 from wattlink.functions.measure import literal_lookup
 from wattlink.functions.text import blank_to_null, contains_any, join_parts, parenthesised, remove_first
 from wattlink.functions.text import squeeze, text, without_parentheses
+from wattlink.operators.ranking import computed_once
 
 
 def _either(a: str, b: Column) -> Column:
@@ -106,4 +107,6 @@ def standardize_addresses(registry: DataFrame, keep: list[str] | None = None) ->
     filled = registry.withColumns({c: text(c) for c in K.REGISTRY_COLUMNS if c in registry.columns})
     missing = [c for c in K.REGISTRY_COLUMNS if c not in registry.columns]
     filled = filled.withColumns({c: F.lit("") for c in missing})
-    return address_parts(split_name(filled)).select(*(keep or []), *K.STRUCTURED_COLUMNS)
+    parts = address_parts(computed_once(split_name(filled)))
+    # nothing that is asked of the result later may be pushed back through the rules
+    return computed_once(parts.select(*(keep or []), *K.STRUCTURED_COLUMNS))
