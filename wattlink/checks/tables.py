@@ -218,14 +218,12 @@ def distances(spark, sf_dir):
 # --- polygons: one star per nation and orders in them ----------------------------------------
 
 # corner k of nation n; every second corner is drawn in, which makes the ring concave
-CORNERS = 10
 _R = "CASE WHEN k % 2 = 0 THEN 1.5e0 ELSE 0.6e0 END"
+_CORNER = "n_nationkey, explode(sequence(0, 9)) AS k"
 RING = f"""SELECT n_nationkey AS polygon_id, k,
-    98e0 + CAST((n_nationkey * 7919) % 8000 AS DOUBLE) / 1e3
-        + CAST(CAST(1e3 * {_R} * cos(k * 0.6283e0 + n_nationkey) AS BIGINT) AS DOUBLE) / 1e3 AS lng,
-    22e0 + CAST((n_nationkey * 1299) % 7000 AS DOUBLE) / 1e3
-        + CAST(CAST(1e3 * {_R} * sin(k * 0.6283e0 + n_nationkey) AS BIGINT) AS DOUBLE) / 1e3 AS lat
-FROM @nation@ CROSS JOIN (SELECT explode(sequence(0, {CORNERS - 1})) AS k)"""
+    98e0 + CAST((n_nationkey * 7919) % 8000 AS DOUBLE) / 1e3 + floor(1e3 * {_R} * cos(k * 0.6283e0 + n_nationkey)) / 1e3 AS lng,
+    22e0 + CAST((n_nationkey * 1299) % 7000 AS DOUBLE) / 1e3 + floor(1e3 * {_R} * sin(k * 0.6283e0 + n_nationkey)) / 1e3 AS lat
+FROM (SELECT {_CORNER} FROM @nation@) corners"""
 
 
 def _geojson(spark, sf_dir):
@@ -268,7 +266,7 @@ FARM_SQL = duck_ctes("farms", incoming=INCOMING) + f""",
         CASE WHEN f.id IS NULL THEN '{NOW}' ELSE '{OLD}' END AS created_at,
         CASE WHEN l.name IS NULL THEN '{OLD}' ELSE '{NOW}' END AS updated_at
     FROM farms f FULL JOIN last l ON l.name = f.enterprise_name LEFT JOIN opening o ON o.name = l.name"""
-RING_DUCK = RING.replace("SELECT explode(sequence(0, 9)) AS k", "SELECT unnest(generate_series(0, 9)) AS k")
+RING_DUCK = RING.replace("explode(sequence(0, 9))", "unnest(generate_series(0, 9))")
 HITS = """SELECT p.id, e.polygon_id FROM (SELECT id, CAST(longitude AS DOUBLE) AS lng, CAST(latitude AS DOUBLE) AS lat FROM points
         WHERE energy_type = 'solar' AND longitude <> '' AND latitude <> '') p
     JOIN edges e ON (e.lat > p.lat) <> (e.lat2 > p.lat) AND p.lng < (e.lng2 - e.lng) * (p.lat - e.lat) / (e.lat2 - e.lat) + e.lng
