@@ -77,7 +77,7 @@ def replace_first(c: Column, part: Column, new: Column) -> Column:
 def parenthesised(c: Column) -> Column:
     """Array of the non-blank stripped segments between () or （）, without nesting."""
     found = F.regexp_extract_all(text(c), F.lit(PARENTHESISED), F.lit(1))
-    return F.filter(F.transform(found, strip), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: strip(s)), lambda s: s != "")
 
 
 def without_parentheses(c: Column) -> Column:

@@ -43,7 +43,8 @@ def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
     """Strict import file: cells trimmed, empty lines skipped, a ragged row fails the whole file.
     Rows are numbered from 1 in file order as `row_no`."""
-    df = spark.read.options(**_DIALECT, mode="FAILFAST", inferSchema=False).csv(path)
+    df = spark.read.options(**_DIALECT, mode="FAILFAST", inferSchema=False, ignoreLeadingWhiteSpace=True,
+                            ignoreTrailingWhiteSpace=True).csv(path)
     trimmed = df.select(*[strip(F.col(f"`{c}`"), JS_SPACE).alias(strip_name(c)) for c in df.columns])
     return in_read_order(trimmed)
 
@@ -52,13 +53,13 @@ def strip_name(name: str) -> str:
     return name.strip().lstrip(BOM)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, quote_all: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Write a folder of CSV parts, each with a header that starts with a byte order mark."""
     columns = columns or df.columns
     out = df.select(*[text(F.col(f"`{c}`")).alias(c) for c in columns])
     marked = out.withColumnRenamed(columns[0], BOM + columns[0])
     marked.write.mode("overwrite").options(
-        header=True, quote='"', escape='"', quoteAll=quote_all, emptyValue="", encoding="UTF-8",
+        header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
@@ -92,3 +93,14 @@ def import_template(spark: SparkSession, kind: str) -> DataFrame:
         raise ValueError("不支持的模板类型")
     header, sample = K.IMPORT_TEMPLATES[kind]
     return spark.createDataFrame([tuple(sample)], T.StructType([T.StructField(c, T.StringType()) for c in header]))
+
+
+def write_template(spark: SparkSession, kind: str, path: str) -> None:
+    """Write a template file, every cell quoted."""
+    template = import_template(spark, kind)
+    lines = [BOM + _quoted(template.columns), _quoted(template.first())]
+    spark.createDataFrame([(line,) for line in lines], "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _quoted(cells) -> str:
+    return ",".join('"' + cell.replace('"', '""') + '"' for cell in cells)
