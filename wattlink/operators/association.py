@@ -11,6 +11,7 @@ from wattlink.functions.text import normalize_poi, url_component, utf16_length
 from wattlink.operators import nearest
 from wattlink.operators.containment import containing_pairs
 from wattlink.operators.ranking import computed_once, first_per_key, numbered, top_per_key
+from wattlink.session import durable, spread
 from wattlink.operators.views import energy_match, province_match
 
 LINK_COLUMNS = ["farm_id", "recognition_id", "distance_km", "association_source"]
@@ -71,19 +72,20 @@ def poi_links(farms: DataFrame, points: DataFrame) -> DataFrame:
     probes = points.select(
         F.col("id").alias("recognition_id"), normalize_poi("poi").alias("t"), "lng", "lat"
     ).where(long_enough)
-    addresses = sites.select(F.col("t").alias("address")).distinct()
-    names = probes.select(F.col("t").alias("poi")).distinct()
-    spots = probes.select("t", "lng", "lat").distinct()
-    held = nearest.distinct_positions(sites, ["t"])
+    # written once: both directions and the sizing of groups read them again
+    spots = durable(spread(probes.select("t", "lng", "lat").distinct(), "t", "lng", "lat"))
+    held = durable(nearest.distinct_positions(sites, ["t"]))
+    addresses = durable(held.select(F.col("t").alias("address")).distinct())
+    names = durable(spots.select(F.col("t").alias("poi")).distinct())
 
-    inside_poi = containing_pairs(addresses, names, "address", "poi")
+    inside_poi = durable(containing_pairs(addresses, names, "address", "poi"))
     asked = spots.join(inside_poi.withColumnRenamed("poi", "t"), "t").withColumnRenamed("address", "g")
     by_address = nearest.nearest_in_groups(asked, held.withColumnRenamed("t", "g"), ["t", "lng", "lat"])
 
     # equal texts are already paired above
-    inside_address = containing_pairs(names, addresses, "poi", "address").where("poi <> address")
+    inside_address = durable(containing_pairs(names, addresses, "poi", "address").where("poi <> address"))
     listed = held.join(inside_address.withColumnRenamed("address", "t"), "t").withColumnRenamed("poi", "g").drop("t")
-    listed = nearest.distinct_positions(listed, ["g"])
+    listed = durable(nearest.distinct_positions(listed, ["g"]))
     by_name = nearest.nearest_in_groups(spots.withColumn("g", F.col("t")), listed, ["t", "lng", "lat"])
 
     best = first_per_key(

@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattlink.functions.geo import chord_of_km, haversine_km, unit_vector
+from wattlink.functions.text import let
 from wattlink.operators.ranking import computed_once, first_per_key
-from wattlink.session import durable
+from wattlink.session import durable, spread
 
 BROADCAST_BYTES = 64 * 1024 * 1024  # checked size of a broadcast site table
 DIRECT_SITES = 256  # largest group joined without descending
@@ -69,8 +70,43 @@ def _closest(pairs: DataFrame, probe: list[str], max_km: float | None) -> DataFr
     near = pairs.withColumn("distance", km).where(~F.isnan("distance"))
     if max_km is not None:
         near = near.where(F.col("distance") <= max_km)
-    best = first_per_key(near, probe, [F.col("distance"), F.col("s_name"), F.col("s_id")])
-    return best.select(*probe, "s_id", "s_name", "distance")
+    return _first_of(near, probe).select(*probe, "s_id", "s_name", "distance")
+
+
+def _first_of(found: DataFrame, probe: list[str]) -> DataFrame:
+    return first_per_key(found, probe, [F.col("distance"), F.col("s_name"), F.col("s_id")])
+
+
+def _site_lists(sites: DataFrame) -> DataFrame:
+    """Sites of each group as one array; only for groups of a checked size."""
+    fields = F.struct("x", "y", "z", "lat", "lng", "name", "id")
+    return with_vector(sites).groupBy("g").agg(F.collect_list(fields).alias("sites"))
+
+
+def _closest_listed(probes: DataFrame, lists: DataFrame, probe: list[str], max_km: float | None) -> DataFrame:
+    """Nearest site out of each group's array. A probe meets one row per group it is in and is
+    answered where it stands: candidates are never rows that must be shuffled or sorted.
+
+    Chords are cheap to compare; the exact distance is taken of those within rounding of the
+    shortest chord.
+    """
+    def squared(s: Column) -> Column:
+        dx, dy, dz = (s[a] - F.col(a) for a in "xyz")
+        return dx * dx + dy * dy + dz * dz
+
+    def reach(shortest: Column) -> Column:
+        return shortest + F.sqrt(shortest) * (2 * SLACK) + SLACK**2
+
+    def exact(s: Column) -> Column:
+        km = haversine_km(F.col("lat"), F.col("lng"), s["lat"], s["lng"])
+        return F.struct(km.alias("distance"), s["name"].alias("s_name"), s["id"].alias("s_id"))
+
+    chords = F.array_min(F.transform("sites", squared))
+    close = let(reach(chords), lambda limit: F.filter("sites", lambda s: squared(s) <= limit))
+    met = computed_once(with_vector(probes).join(lists, "g"), close=close)
+    near = computed_once(met, best=F.array_min(F.transform("close", exact))).select(*probe, "best.*")
+    near = near.where(~F.isnan("distance"))
+    return near if max_km is None else near.where(F.col("distance") <= max_km)
 
 
 def _as_site(sites: DataFrame, *extra) -> DataFrame:
@@ -79,23 +115,34 @@ def _as_site(sites: DataFrame, *extra) -> DataFrame:
 
 
 def nearest_in_groups(probes: DataFrame, sites: DataFrame, probe: list[str], max_km: float | None = None,
-                      start_side: float = 4.0, small: bool = False) -> DataFrame:
+                      start_side: float = 4.0) -> DataFrame:
     """Nearest site of the same group `g` for every probe.
 
     probes: the identifying columns `probe`, then g, lng, lat (a probe may be in several groups).
     sites:  g, lng, lat, name, id with distinct positions inside a group.
     Ties go to the first (name, id). Returns the probe columns, s_id, s_name, distance.
     """
-    sizes = sites.groupBy("g").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > DIRECT_SITES)
-    if small or large.isEmpty():
-        return _closest(probes.join(_as_site(sites, "g"), "g"), probe, max_km)
-    large = durable(large.select("g"))
+    sizes = sites.groupBy("g").agg(F.count("*").alias("n"), F.sum(_site_bytes()).alias("bytes"))
+    crowded = F.when(F.col("n") > DIRECT_SITES, F.octet_length(F.col("g").cast("string")) + 32)
+    total = sizes.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum(crowded).alias("large")).first()
+    # broadcast lists are met where the probes are; otherwise the adaptive skew join splits the
+    # probes of a hot group
+    placed = F.broadcast if (total["bytes"] or 0) <= BROADCAST_BYTES else (lambda lists: lists)
+    if (total["n"] or 0) <= DIRECT_SITES:
+        return _first_of(_closest_listed(probes, placed(_site_lists(sites)), probe, max_km), probe)
+    large = durable(sizes.where(F.col("n") > DIRECT_SITES).select("g"))
+    if total["large"] <= BROADCAST_BYTES:
+        large = F.broadcast(large)
     split = lambda df, how: df.join(large, "g", how)
-    direct = split(probes, "left_anti").join(_as_site(split(sites, "left_anti"), "g"), "g")
-    deep = _descend(split(probes, "left_semi"), split(sites, "left_semi"), probe, max_km, start_side)
-    columns = [*dict.fromkeys([*probe, "lng", "lat"]), "s_lng", "s_lat", "s_name", "s_id"]
-    return _closest(direct.select(*columns).unionByName(deep.select(*columns)), probe, max_km)
+    lists = placed(_site_lists(split(sites, "left_anti")))
+    direct = _closest_listed(split(probes, "left_anti"), lists, probe, max_km)
+    pairs = _descend(split(probes, "left_semi"), split(sites, "left_semi"), probe, max_km, start_side)
+    return _first_of(direct.unionByName(_closest(pairs, probe, max_km)), probe)
+
+
+def _site_bytes() -> Column:
+    """Upper estimate of what a site takes in a list."""
+    return F.lit(120) + F.octet_length("name")
 
 
 def _descend(probes: DataFrame, sites: DataFrame, probe: list[str], max_km: float | None, side: float) -> DataFrame:
@@ -103,6 +150,11 @@ def _descend(probes: DataFrame, sites: DataFrame, probe: list[str], max_km: floa
     limit = 4.0 if max_km is None else (chord_of_km(max_km) + SLACK) ** 2
     sites = durable(with_vector(sites))
     probes = durable(with_vector(probes))
+    # start where the widest group spans a few cells per axis
+    spans = sites.groupBy("g").agg(F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("span"))
+    widest = max(spans.agg(F.max("span")).first()[0] or 0.0, SLACK)
+    while side > widest:
+        side /= 4
     carried = [*dict.fromkeys([*probe, "lng", "lat"]), "x", "y", "z"]
 
     def cells(level: int) -> dict[str, Column]:
@@ -166,19 +218,19 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_km: float, strate
         return points.select("id", F.lit(None).cast("long").alias("s_id"), F.lit(None).cast("string").alias("s_name"),
                              F.lit(None).cast("double").alias("distance")).where(F.lit(False))
     grid = Grid(radius_km)
-    where_is = with_vector(distinct_positions(sites, []))
-    listed = where_is.select("lng", "lat", "name", "id", F.explode(grid.reachable_cells()).alias("g"))
-    size = F.lit(80) + F.octet_length("name")
-    per_cell = listed.groupBy("g").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    listed = with_vector(distinct_positions(sites, [])).select("lng", "lat", "name", "id", F.explode(grid.reachable_cells()).alias("g"))
+    per_cell = listed.groupBy("g").agg(F.count("*").alias("n"), F.sum(_site_bytes()).alias("bytes"))
     total = per_cell.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     probes = with_vector(points.select("id", "lng", "lat")).select("id", grid.cell().alias("g"), "lng", "lat")
     crowded = (total["n"] or 0) > DIRECT_SITES
     fits = (total["bytes"] or 0) <= BROADCAST_BYTES
-    if not crowded and (strategy == "broadcast" or (strategy == "auto" and fits)):
-        return _closest(probes.join(F.broadcast(_as_site(listed, "g")), "g"), ["id"], radius_km)
     if not crowded:
-        return nearest_in_groups(probes, listed, ["id"], radius_km, small=True)
+        lists = _site_lists(listed)
+        if strategy == "broadcast" or (strategy == "auto" and fits):
+            lists = F.broadcast(lists)
+        # a point is in one cell, so the nearest site of the cell is its answer
+        return _closest_listed(probes, lists, ["id"], radius_km).select("id", "s_id", "s_name", "distance")
     # points on the same position share the search
-    spots = probes.select("g", "lng", "lat").distinct()
+    spots = spread(probes.select("g", "lng", "lat").distinct(), "lng", "lat")
     best = nearest_in_groups(spots, listed, ["lng", "lat"], radius_km, start_side=grid.side)
     return probes.select("id", "lng", "lat").join(best, ["lng", "lat"]).select("id", "s_id", "s_name", "distance")

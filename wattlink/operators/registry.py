@@ -13,7 +13,7 @@ from wattlink.functions.documents import (
 )
 from wattlink.functions.measure import normalize_capacity, page_count, power_type_lookup
 from wattlink.functions.text import is_empty, strip
-from wattlink.operators.ranking import first_per_key
+from wattlink.operators.ranking import computed_once, first_per_key
 
 
 def update_stamp(now: str | None = None) -> Column:
@@ -31,14 +31,14 @@ def extract_registry(docs: DataFrame, source: dict, lookup: dict | None = None,
         raise ValueError("source has no extraction_mapping")
     lookup = power_type_lookup(lookup)
     d = F.col(doc)
-    rows = docs.where(F.schema_of_variant(d).startswith("OBJECT")).select(
-        *(keep or []),
-        F.lit(source.get("name")).alias("地区"),
-        clean_field(mapped_text(d, mapping.get("社会统一信用代码"))).alias("社会统一信用代码"),
-        clean_field(mapped_text(d, mapping.get("企业名称"))).alias("企业名称"),
-        mapped_power_type(d, mapping.get("发电类型"), lookup).alias("发电类型"),
-        normalize_capacity(mapped_text(d, mapping.get("装机容量"))).alias("装机容量"),
-        update_stamp(now).alias("更新时间"),
+    rows = computed_once(docs.where(F.try_variant_get(d, "$", "array<variant>").isNull()), **{
+        "社会统一信用代码": clean_field(mapped_text(d, mapping.get("社会统一信用代码"))),
+        "企业名称": clean_field(mapped_text(d, mapping.get("企业名称"))),
+        "发电类型": mapped_power_type(d, mapping.get("发电类型"), lookup),
+        "装机容量": normalize_capacity(mapped_text(d, mapping.get("装机容量"))),
+    })
+    rows = rows.select(
+        *(keep or []), F.lit(source.get("name")).alias("地区"), *K.REGISTRY_COLUMNS[1:5], update_stamp(now).alias("更新时间")
     )
     return rows.where(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in K.REGISTRY_COLUMNS[1:5]]).isNotNull())
 

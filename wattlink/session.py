@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition by distinct-ish columns over all tasks of a shuffle. Adaptive execution sizes
+    partitions by bytes, which leaves few rows with much work each in too few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage once and continue from the written copy.
 
