@@ -57,6 +57,14 @@ def manual_only(spark, sf_dir):
     return A.split_links(_links(spark, sf_dir, "solar")[2], "manual")
 
 
+def manual_with_pending(spark, sf_dir):
+    """Manually linked points together with all points still without a link, one row per point."""
+    _, points, links = _links(spark, sf_dir)
+    mine = A.split_links(links, "manual").select(F.col("recognition_id").alias("id"), F.lit("manual").alias("state"))
+    open_ = A.outliers(points, links).select("id", F.lit("open").alias("state"))
+    return A.union_by_id(A.union_by_id(mine, open_), mine)
+
+
 def outliers(spark, sf_dir):
     _, points, links = _links(spark, sf_dir)
     return A.outliers(points, links).select("id", "original_image", "lng", "lat")
@@ -197,6 +205,9 @@ QUERIES = {
     "assoc_poi_links": (poi_links, POI_SQL),
     "assoc_with_manual": (links_with_manual, _sql("SELECT * FROM links")),
     "assoc_manual_only": (manual_only, _sql("SELECT * FROM links WHERE association_source = 'manual'", "solar")),
+    "assoc_manual_with_pending": (manual_with_pending, _sql(
+        """SELECT DISTINCT recognition_id AS id, 'manual' AS state FROM links WHERE association_source = 'manual' UNION ALL
+           SELECT id, 'open' FROM p WHERE id NOT IN (SELECT recognition_id FROM links)""")),
     "assoc_outliers": (outliers, _sql(
         "SELECT id, original_image, lng, lat FROM p WHERE id NOT IN (SELECT recognition_id FROM links)")),
     "assoc_manual_summary": (manual_summary, _sql(SUMMARY)),

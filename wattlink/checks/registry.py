@@ -49,6 +49,11 @@ def registry_latest_by_max(spark, sf_dir):
     return R.latest_records_by_max(observations(spark, sf_dir))
 
 
+def registry_newest(spark, sf_dir):
+    """The twenty newest records in output order."""
+    return R.newest_first(R.latest_records(observations(spark, sf_dir))).limit(20)
+
+
 def registry_append(spark, sf_dir):
     old = observations(spark, sf_dir)
     return R.latest_records(R.append_rows(old, old.drop("更新时间"), K.REGISTRY_COLUMNS))
@@ -188,6 +193,9 @@ WHOLE = """SELECT s.source, s.page, s.n_items FROM sizes s WHERE NOT EXISTS (
 QUERIES = {
     "registry_latest": (registry_latest, LATEST_SQL),
     "registry_latest_by_max": (registry_latest_by_max, LATEST_SQL),
+    "registry_newest": (registry_newest, duck_ctes("observations", observed=OBSERVED, latest=LATEST) + """SELECT * FROM latest
+        ORDER BY try_strptime(更新时间, '%Y-%m-%d %H:%M:%S') DESC NULLS LAST, 地区 NULLS FIRST, 社会统一信用代码 NULLS FIRST,
+            企业名称 NULLS FIRST, 发电类型 NULLS FIRST, 装机容量 NULLS FIRST LIMIT 20"""),
     "registry_append": (registry_append, LATEST_SQL),
     "capacity_mw": (capacity_mw, duck_ctes("observations")
                     + f"SELECT event_id, capacity_raw, {capacity_sql('capacity_raw')} AS capacity FROM observations"),

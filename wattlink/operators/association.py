@@ -124,6 +124,12 @@ def split_links(links: DataFrame, source: str) -> DataFrame:
     return links.where(F.col("association_source") == source)
 
 
+def union_by_id(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of both, one per id; the left one stays where both have it."""
+    new = right.join(left.select(key), key, "left_anti")
+    return left.dropDuplicates([key]).unionByName(new.dropDuplicates([key]))
+
+
 def linked_points(links: DataFrame, points: DataFrame) -> DataFrame:
     """Links with the columns of their point."""
     return links.join(points.withColumnRenamed("id", "recognition_id"), "recognition_id")

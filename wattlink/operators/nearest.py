@@ -8,10 +8,12 @@ carries does not grow with the size of its group.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wattlink import constants as K
 from wattlink.functions.geo import chord_of_km, haversine_km, unit_vector
 from wattlink.functions.text import let
 from wattlink.operators.ranking import computed_once, first_per_key
@@ -66,6 +68,11 @@ class Grid:
 
 def _closest(pairs: DataFrame, probe: list[str], max_km: float | None) -> DataFrame:
     """Pairs with coordinates of both sides to the nearest site per probe."""
+    if max_km is not None:
+        # a cheap first test, true only of latitudes that exist
+        band = math.degrees(max_km / K.EARTH_RADIUS_KM) + 1e-9
+        pairs = pairs.where((F.abs(F.col("s_lat") - F.col("lat")) <= band)
+                            | (F.greatest(F.abs("s_lat"), F.abs("lat")) > 90))
     km = haversine_km(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng"))
     near = pairs.withColumn("distance", km).where(~F.isnan("distance"))
     if max_km is not None:
@@ -225,11 +232,11 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_km: float, strate
     crowded = (total["n"] or 0) > DIRECT_SITES
     fits = (total["bytes"] or 0) <= BROADCAST_BYTES
     if not crowded:
-        lists = _site_lists(listed)
+        content = _as_site(listed, "g")
         if strategy == "broadcast" or (strategy == "auto" and fits):
-            lists = F.broadcast(lists)
-        # a point is in one cell, so the nearest site of the cell is its answer
-        return _closest_listed(probes, lists, ["id"], radius_km).select("id", "s_id", "s_name", "distance")
+            content = F.broadcast(content)
+        # pairs out of range go in the join's own stage, and each task sends one row per point
+        return _closest(probes.join(content, "g"), ["id"], radius_km)
     # points on the same position share the search
     spots = spread(probes.select("g", "lng", "lat").distinct(), "lng", "lat")
     best = nearest_in_groups(spots, listed, ["lng", "lat"], radius_km, start_side=grid.side)
