@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from wattlink import constants as K
-from wattlink.functions.text import WORD, contains_any, remove_first, replace_first, squeeze, text
+from wattlink.functions.text import WORD, contains_any, let, replace_first, squeeze, text
 
 
 def has_signal(c: Column) -> Column:
@@ -26,38 +26,41 @@ def _first_name(c: Column, test) -> Column:
     return F.coalesce(*[F.when(test(c, short, full), F.lit(i)) for i, (short, full) in names])
 
 
+def hint_position(region: Column, c: Column) -> Column:
+    """Which known county the text names in short form only; null outside the hinted region."""
+    at = _first_name(c, lambda t, short, full: t.contains(short) & ~t.contains(full))
+    return F.when(squeeze(region) == K.COUNTY_HINT_REGION, at)
+
+
+def short_name(at: Column) -> Column:
+    return F.try_element_at(F.array(*[F.lit(n) for n in K.COUNTY_FULL_NAMES]), at)
+
+
+def full_name(at: Column) -> Column:
+    return F.try_element_at(F.array(*[F.lit(n) for n in K.COUNTY_FULL_NAMES.values()]), at)
+
+
 def county_hint(region: Column, c: Column) -> Column:
     """Complete the first known short county name that lacks its full form."""
-    at = _first_name(c, lambda t, short, full: t.contains(short) & ~t.contains(full))
-    shorts = F.array(*[F.lit(n) for n in K.COUNTY_FULL_NAMES])
-    fulls = F.array(*[F.lit(n) for n in K.COUNTY_FULL_NAMES.values()])
-    filled = replace_first(c, F.try_element_at(shorts, at), F.try_element_at(fulls, at))
-    return F.when((squeeze(region) == K.COUNTY_HINT_REGION) & at.isNotNull(), filled).otherwise(c)
+    filled = let(hint_position(region, c), lambda at: replace_first(c, short_name(at), full_name(at)))
+    return F.coalesce(filled, c)
 
 
 def known_county(c: Column) -> Column:
     """First full county name contained in the text, else ''."""
     at = _first_name(c, lambda t, short, full: t.contains(full))
-    fulls = F.array(*[F.lit(n) for n in K.COUNTY_FULL_NAMES.values()])
-    return text(F.try_element_at(fulls, at))
+    return text(full_name(at))
 
 
 def segment(c: Column, suffixes: list[str]) -> Column:
     """For each suffix the leftmost, shortest run ending in it; of those the longest, the first
     listed on ties; '' if there is none."""
-    found = []
+    ranked = []
     for i, suffix in enumerate(suffixes):
         run = F.when(c.contains(suffix), F.regexp_extract(c, f"{WORD}+?{suffix}", 0)).otherwise("")
-        found.append(run)
-    runs = F.array(*found)
-    ranked = F.transform(runs, lambda run, i: F.struct(F.length(run).alias("n"), (-i).alias("i"), run.alias("run")))
-    return F.array_max(ranked)["run"]
+        ranked.append(F.struct(F.length(run).alias("n"), F.lit(-i).alias("i"), run.alias("run")))
+    return F.array_max(F.array(*ranked))["run"]
 
 
 def house_number(c: Column) -> Column:
     return F.regexp_extract(text(c), r"\p{Nd}+(?:-\p{Nd}+)?号", 0)
-
-
-__all__ = [
-    "county_hint", "has_signal", "house_number", "known_county", "remove_first", "segment", "without_noise",
-]

@@ -70,7 +70,8 @@ def complete_pages(sized: DataFrame) -> DataFrame:
         successors.join(good, ["source", "page"], "left_anti")
         .groupBy("source").agg(F.min("page").alias("first_gap"))
     )
-    return sized.join(gaps, "source").where("page < first_gap").drop("first_gap")
+    # one row per configured source: pages stay where they are, however many a source has
+    return sized.join(F.broadcast(gaps), "source").where("page < first_gap").drop("first_gap")
 
 
 def item_ids(items: DataFrame, id_field: str, doc: str = "doc") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattlink import constants as K
 from wattlink.functions import address as A
 from wattlink.functions.measure import literal_lookup
-from wattlink.functions.text import blank_to_null, contains_any, join_parts, parenthesised, remove_first
+from wattlink.functions.text import blank_to_null, contains_any, join_parts, parenthesised, remove_first, replace_first
 from wattlink.functions.text import squeeze, text, without_parentheses
 from wattlink.operators.ranking import computed_once
 
@@ -65,7 +65,10 @@ def address_parts(df: DataFrame) -> DataFrame:
         "_fall": squeeze("主体名称"),
         **{c: F.lit("") for c in ("市州", "区县", "乡镇街道", "村社区", "组社", "门牌号")},
     })
-    df = df.withColumns({"_hinted": A.county_hint(F.col("地区"), F.col("_clean"))})
+    # in steps, each column used more than once being computed before
+    df = df.withColumn("_at", A.hint_position(F.col("地区"), F.col("_clean")))
+    df = df.withColumns({"_short": A.short_name(F.col("_at")), "_full": A.full_name(F.col("_at"))})
+    df = df.withColumn("_hinted", F.coalesce(replace_first(F.col("_clean"), F.col("_short"), F.col("_full")), "_clean"))
     df = df.withColumns({"_work": _without_prefix("_hinted", "省"), "_fall": _without_prefix("_fall", "省")})
 
     hinted = region == K.COUNTY_HINT_REGION
@@ -99,7 +102,7 @@ def address_parts(df: DataFrame) -> DataFrame:
     named = join_parts([F.col(c) for c in ("省", "市州", "区县", "乡镇街道", "村社区", "组社", "门牌号")])
     df = df.withColumn("_named", named)
     df = df.withColumn("标准化地址", F.concat(_either("_named", F.col("_hinted")), "_rest"))
-    return df.drop("_clean", "_hinted", "_work", "_fall", "_fall_whole", "_rest", "_named")
+    return df.drop("_clean", "_at", "_short", "_full", "_hinted", "_work", "_fall", "_fall_whole", "_rest", "_named")
 
 
 def standardize_addresses(registry: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -32,7 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "wattlink", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # checkpoints of finished loops are removed once nothing refers to them
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
