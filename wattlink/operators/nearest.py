@@ -227,17 +227,26 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_km: float, strate
     grid = Grid(radius_km)
     listed = with_vector(distinct_positions(sites, [])).select("lng", "lat", "name", "id", F.explode(grid.reachable_cells()).alias("g"))
     per_cell = listed.groupBy("g").agg(F.count("*").alias("n"), F.sum(_site_bytes()).alias("bytes"))
-    total = per_cell.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    crowded = F.when(F.col("n") > DIRECT_SITES, F.lit(16))
+    total = per_cell.agg(F.sum("bytes").alias("bytes"), F.sum(crowded).alias("large")).first()
     probes = with_vector(points.select("id", "lng", "lat")).select("id", grid.cell().alias("g"), "lng", "lat")
-    crowded = (total["n"] or 0) > DIRECT_SITES
-    fits = (total["bytes"] or 0) <= BROADCAST_BYTES
-    if not crowded:
-        content = _as_site(listed, "g")
-        if strategy == "broadcast" or (strategy == "auto" and fits):
-            content = F.broadcast(content)
+    fits = strategy == "broadcast" or (strategy == "auto" and (total["bytes"] or 0) <= BROADCAST_BYTES)
+
+    def in_place(some: DataFrame, sites_of_cells: DataFrame) -> DataFrame:
         # pairs out of range go in the join's own stage, and each task sends one row per point
-        return _closest(probes.join(content, "g"), ["id"], radius_km)
-    # points on the same position share the search
-    spots = spread(probes.select("g", "lng", "lat").distinct(), "lng", "lat")
-    best = nearest_in_groups(spots, listed, ["lng", "lat"], radius_km, start_side=grid.side)
-    return probes.select("id", "lng", "lat").join(best, ["lng", "lat"]).select("id", "s_id", "s_name", "distance")
+        content = _as_site(sites_of_cells, "g")
+        return _closest(some.join(F.broadcast(content) if fits else content, "g"), ["id"], radius_km)
+
+    if not total["large"]:
+        return in_place(probes, listed)
+    large = durable(per_cell.where(F.col("n") > DIRECT_SITES).select("g"))
+    if total["large"] <= BROADCAST_BYTES:
+        large = F.broadcast(large)
+    calm = in_place(probes.join(large, "g", "left_anti"), listed.join(large, "g", "left_anti"))
+    # points on the same position share the search in crowded cells
+    busy = probes.join(large, "g", "left_semi")
+    spots = spread(busy.select("g", "lng", "lat").distinct(), "lng", "lat")
+    pairs = _descend(spots, listed.join(large, "g", "left_semi"), ["lng", "lat"], radius_km, grid.side)
+    best = _closest(pairs, ["lng", "lat"], radius_km)
+    found = busy.select("id", "lng", "lat").join(best, ["lng", "lat"]).select("id", "s_id", "s_name", "distance")
+    return calm.unionByName(found)
