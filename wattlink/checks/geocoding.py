@@ -8,7 +8,7 @@ from wattlink import constants as K, schemas
 from wattlink.checks.addresses import structured, structured_ctes
 from wattlink.checks.fixtures import duck_ctes, spark_view
 from wattlink.operators import geocode as G, reverse, views
-from wattlink.session import scratch_path
+from wattlink.session import durable, scratch_path
 from wattlink.sources import csvio, landed
 
 # the answer to a query follows from its text: long ones fail, middling ones succeed, short ones
@@ -20,12 +20,14 @@ POWER = """CASE WHEN query LIKE '%县%' THEN '风电' WHEN query LIKE '%镇%' TH
     ELSE '水电' END"""
 
 
-def _candidates(spark, sf_dir):
-    return G.geocode_candidates(structured(spark, sf_dir), ["id"])
+def _written(spark, sf_dir):
+    """Structured rows as a job finds them: written once, read by every step."""
+    return durable(structured(spark, sf_dir))
 
 
-def _cache(spark, sf_dir):
-    asked = _candidates(spark, sf_dir).select("query").distinct().where(ASKED)
+def _cache(spark, sf_dir, rows=None):
+    rows = structured(spark, sf_dir) if rows is None else rows
+    asked = G.geocode_candidates(rows, ["id"]).select("query").distinct().where(ASKED)
     good = F.expr(SUCCEEDS)
     return asked.select(
         "query", F.when(good, "success").otherwise("failed").alias("status"),
@@ -36,19 +38,22 @@ def _cache(spark, sf_dir):
 
 
 def geocode_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir)
+    return G.geocode_candidates(structured(spark, sf_dir), ["id"])
 
 
 def geocode_resolve(spark, sf_dir):
-    return G.geocode_resolve(structured(spark, sf_dir), _cache(spark, sf_dir)).select("id", *K.GEOCODE_COLUMNS)
+    rows = _written(spark, sf_dir)
+    return G.geocode_resolve(rows, _cache(spark, sf_dir, rows)).select("id", *K.GEOCODE_COLUMNS)
 
 
 def geocode_pending(spark, sf_dir):
-    return G.geocode_pending(structured(spark, sf_dir), _cache(spark, sf_dir))
+    rows = _written(spark, sf_dir)
+    return G.geocode_pending(rows, _cache(spark, sf_dir, rows))
 
 
 def geocode_enrich_cache(spark, sf_dir):
-    return G.enrich_cache(_cache(spark, sf_dir), structured(spark, sf_dir), "id").select(
+    rows = _written(spark, sf_dir)
+    return G.enrich_cache(_cache(spark, sf_dir, rows), rows, "id").select(
         "query", "status", "lon", "candidate_level", "company_name", "standard_address", "original_address", "site_name",
         "region", "power_type")
 
@@ -62,12 +67,13 @@ def _answers(pending):
 
 
 def geocode_cascade(spark, sf_dir):
-    rows, _ = G.cascade(structured(spark, sf_dir), _cache(spark, sf_dir), _answers)
+    rows = _written(spark, sf_dir)
+    rows, _ = G.cascade(rows, _cache(spark, sf_dir, rows), _answers)
     return rows.select("id", *K.GEOCODE_COLUMNS)
 
 
 def geocode_resume(spark, sf_dir):
-    rows = structured(spark, sf_dir)
+    rows = _written(spark, sf_dir)
     done = rows.where(F.col("企业名称").contains("某公司"))
     return G.skip_processed(rows, done, "id").select("id", *G.ROW_KEY)
 

@@ -75,8 +75,8 @@ def poi_links(farms: DataFrame, points: DataFrame) -> DataFrame:
     # written once: both directions and the sizing of groups read them again
     spots = durable(spread(probes.select("t", "lng", "lat").distinct(), "t", "lng", "lat"))
     held = durable(nearest.distinct_positions(sites, ["t"]))
-    addresses = durable(held.select(F.col("t").alias("address")).distinct())
-    names = durable(spots.select(F.col("t").alias("poi")).distinct())
+    addresses = held.select(F.col("t").alias("address")).distinct()
+    names = spots.select(F.col("t").alias("poi")).distinct()
 
     inside_poi = durable(containing_pairs(addresses, names, "address", "poi"))
     asked = spots.join(inside_poi.withColumnRenamed("poi", "t"), "t").withColumnRenamed("address", "g")
