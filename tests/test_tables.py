@@ -49,6 +49,16 @@ def test_import_file_quirks(spark, tmp_path):
             csvio.read_import_csv(spark, write(tmp_path / f"{len(ragged)}.csv", ragged)).collect()
 
 
+def test_several_import_files_follow_by_path(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    write(folder / "a.csv", "v\n" + "".join(f"a{i}\n" for i in range(5)))
+    write(folder / "b.csv", "v\n" + "".join(f"b{i}\n" for i in range(3000)))
+    rows = csvio.read_import_csv(spark, str(folder)).orderBy("row_no").collect()
+    assert [r["row_no"] for r in rows] == list(range(1, 3006))
+    assert [r["v"] for r in rows] == [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(3000)]
+
+
 def test_registry_csv(spark, tmp_path):
     assert csvio.read_registry_csv(spark, str(tmp_path / "none.csv")).count() == 0
     path = write(tmp_path / "r.csv", "地区,企业名称,extra\n云南,NA,1\nnull,\"甲,\n乙\",2\n")
