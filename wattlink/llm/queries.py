@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattlink.llm import divergence
+from wattlink.llm import credentials, decontaminate, divergence, lattice, simhash
 from wattlink.llm.common import table
 
 
@@ -78,7 +78,57 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged
 """
 
-QUERIES = {"op6_divergence": (op6_divergence, OP6_SQL)}
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH texts AS (
+  SELECT true AS is_item, item_id AS id, row_number() OVER () AS rid, text FROM benchmark
+  UNION ALL SELECT false, doc_id, row_number() OVER (), text FROM documents
+), worded AS (
+  SELECT is_item, id, rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM texts
+), lengths AS (
+  SELECT DISTINCT least(len(w), 5) AS n FROM worded WHERE is_item AND len(w) > 0
+), starts AS (
+  SELECT is_item, id, rid, w, n, unnest(range(1, len(w) - n + 2)) AS pos
+  FROM worded CROSS JOIN lengths WHERE len(w) >= n AND (NOT is_item OR n = least(len(w), 5))
+), shingles AS (
+  SELECT DISTINCT is_item, id, rid, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS s FROM starts
+), items AS (
+  SELECT *, count(*) OVER (PARTITION BY rid) AS n_item FROM shingles WHERE is_item
+), shared AS (
+  SELECT d.id AS doc_id, d.rid AS doc_rid, i.id AS item_id, i.rid AS item_rid, i.n_item, count(*) AS n_shared
+  FROM items i JOIN shingles d ON NOT d.is_item AND d.n = i.n AND d.s = i.s GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n_item::BIGINT AS n_item, n_shared / n_item AS containment
+FROM shared WHERE 10 * n_shared >= 8 * n_item
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled ids themselves, one array per document; the vocabulary's path is `Vocabulary.load`'s parameter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.encoded(docs, lattice.Vocabulary.load())
+
+
+def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_decontamination": (op4_decontamination, OP4_SQL),
+    "op6_divergence": (op6_divergence, OP6_SQL),
+    "op7_simhash": (op7_simhash, None),
+    "op8_lattice": (op8_lattice, None),
+    "op10_credentials": (op10_credentials, None),
+}
 
 
 def registered() -> dict:
