@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattlink.session import scratch_path
@@ -118,3 +119,30 @@ class Words:
     def hashes(self) -> np.ndarray:
         values = mix64(self.data.astype(np.uint64) + ODD)
         return span_hash(prefix_hash(values), self.begin, self.end)
+
+
+def added_up(partials: DataFrame) -> DataFrame:
+    """Sum blobs of int64 counts by `part`. Rows of one part stream through a task one batch at a
+    time, so a part takes the memory of one blob however many tasks sent one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                values = np.frombuffer(blob.as_buffer(), np.int64)
+                if part in sums:
+                    sums[part] += values
+                else:
+                    sums[part] = values.copy()
+        for part, values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([values.tobytes()], pa.binary())], ["part", "counts"])
+
+    n = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partials.select("part", "counts").repartition(n, "part").mapInArrow(run, "part long, counts binary")
+
+
+def as_blobs(counts: np.ndarray, width: int, first: int = 0) -> Iterator[tuple[int, bytes]]:
+    """Cut a flat count array into numbered blobs of `width` counts, without those that are all zero."""
+    for k in range(0, len(counts), width):
+        piece = counts[k:k + width]
+        if piece.any():
+            yield first + k // width, piece.astype(np.int64).tobytes()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattlink.llm import credentials, decontaminate, divergence, lattice, simhash
-from wattlink.llm.common import table
+from wattlink.llm import credentials, decontaminate, divergence, language_id, lattice, simhash, url_filter, warc
+from wattlink.llm.common import held_out, table
 
 
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,65 @@ FROM judged
 """
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.page_records(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (
+  SELECT page_id, p, h, min(page_id) OVER (PARTITION BY p) AS first FROM payloads
+)
+SELECT page_id, strlen(p)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT) >> (15 - 5 * (k % 4))) & 31)::BIGINT + 1, 1) for k in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+# fixed values: host, path, verdict
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed URLs are the canonical URLs that more than one row of the table leads to."""
+    pages = table(spark, sf_dir, "pages")
+    url = url_filter.canonical(url_filter.host(F.col("url")), url_filter.path(F.col("url")))
+    listed = pages.groupBy(url.alias("url")).count().where("count > 1 AND url IS NOT NULL").select("url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = """
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), traps AS (
+  SELECT host || regexp_replace(path, '/+$', '') AS url FROM parts WHERE host <> '' GROUP BY 1 HAVING count(*) > 1
+), judged AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN host <> '' AND host || regexp_replace(path, '/+$', '') IN (SELECT url FROM traps) THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    return language_id.identified(docs, language_id.learned(docs.where(~out)), out)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -123,6 +182,9 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": (op1_warc, OP1_SQL),
+    "op2_blocked_bloom": (op2_blocked_bloom, OP2_SQL),
+    "op3_output_codes": (op3_output_codes, None),
     "op4_decontamination": (op4_decontamination, OP4_SQL),
     "op6_divergence": (op6_divergence, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
