@@ -67,7 +67,7 @@ if __name__ == "__main__":
     con, sql = duck(sf_dir), entry.oracle_sql()
     wanted = sys.argv[2:]
     for name, fn in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and not any(name == w or name.startswith(w + "_") for w in wanted):
             continue
         start = time.time()
         try:
