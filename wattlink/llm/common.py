@@ -97,6 +97,9 @@ def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[begin]) * down[begin])
 
 
+_BYTE_VALUES = mix64(np.arange(256, dtype=np.uint64) + ODD)
+
+
 class Words:
     """The words of a run of texts as byte spans of one buffer.
 
@@ -117,8 +120,34 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        values = mix64(self.data.astype(np.uint64) + ODD)
-        return span_hash(prefix_hash(values), self.begin, self.end)
+        return span_hash(prefix_hash(_BYTE_VALUES[self.data]), self.begin, self.end)
+
+
+class HashIndex:
+    """Places of known 64-bit keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.order]
+        top = (self.keys >> np.uint64(44)).astype(np.int64)
+        self.bucket = np.full(1 << 20, -1, np.int32)
+        self.bucket[top[::-1]] = np.arange(len(top), dtype=np.int32)[::-1]
+        self.crowd = int(np.bincount(top).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key among the known ones, or -1."""
+        at = self.bucket[keys >> np.uint64(44)]
+        some = np.flatnonzero(at >= 0)
+        at, wanted = at[some], keys[some]
+        for _ in range(self.crowd - 1):
+            behind = np.flatnonzero(self.keys[at] < wanted)
+            if not len(behind):
+                break
+            at[behind] = np.minimum(at[behind] + 1, len(self.keys) - 1)
+        known = self.keys[at] == wanted
+        out = np.full(len(keys), -1, np.int32)
+        out[some[known]] = self.order[at[known]]
+        return out
 
 
 def added_up(partials: DataFrame) -> DataFrame:

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattlink.llm import credentials, decontaminate, divergence, language_id, lattice, simhash, url_filter, warc
+from wattlink.llm import (
+    context_mixing, credentials, decontaminate, divergence, language_id, lattice, simhash, token_counts, url_filter, warc,
+)
 from wattlink.llm.common import held_out, table
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and n_tokens of every document, from the flat files alone."""
+    files = token_counts.write(table(spark, sf_dir, "documents"))
+    return token_counts.scan(spark, files).select("doc_id", "n_tokens")
+
+
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = divergence.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *divergence.COUNTS, "base_failed", "kept")
@@ -177,6 +185,12 @@ def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.encoded(docs, lattice.Vocabulary.load())
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 7, 2)
+    return context_mixing.scored(docs, context_mixing.train(docs.where(~out)), out)
+
+
 def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(table(spark, sf_dir, "documents"))
 
@@ -186,9 +200,11 @@ QUERIES = {
     "op2_blocked_bloom": (op2_blocked_bloom, OP2_SQL),
     "op3_output_codes": (op3_output_codes, None),
     "op4_decontamination": (op4_decontamination, OP4_SQL),
+    "op5_token_counts": (op5_token_counts, None),
     "op6_divergence": (op6_divergence, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
     "op8_lattice": (op8_lattice, None),
+    "op9_context_mixing": (op9_context_mixing, None),
     "op10_credentials": (op10_credentials, None),
 }
 
