@@ -91,7 +91,7 @@ FROM @events@
 
 
 def geocode_responses(spark, sf_dir):
-    return G.parse_responses(spark_view(spark, sf_dir, RESPONSES).where("user_id > 0 OR event_type <> 'view'"))
+    return G.parse_responses(spark_view(spark, sf_dir, RESPONSES))
 
 
 # landed answers of a reverse geocoder, one per distinct coordinate pair of the wind points
@@ -165,13 +165,13 @@ def _sql(select, **more):
 
 RESOLVED = """SELECT s.id, coalesce(query, '') AS 查询地址, CASE WHEN success THEN lon ELSE '' END AS 经度,
     CASE WHEN success THEN lat ELSE '' END AS 纬度, coalesce(level, '') AS 定位级别, coalesce(confidence, '') AS 经纬度可信度,
-    CASE WHEN success THEN 'success' ELSE 'failed' END AS 地理编码状态,
+    CASE WHEN success THEN 'success' WHEN NOT cached THEN 'pending' ELSE 'failed' END AS 地理编码状态,
     CASE WHEN query IS NULL THEN 'no candidate query' ELSE coalesce(message, '') END AS 地理编码消息
-    FROM structured s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY success DESC,
-        CASE WHEN success THEN rank ELSE -rank END) AS rn FROM {tried}) t ON t.id = s.id AND rn = 1"""
+    FROM structured s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY success OR NOT cached DESC,
+        CASE WHEN success OR NOT cached THEN rank ELSE -rank END) AS rn FROM {tried}) t ON t.id = s.id AND rn = 1"""
 # every query a wave can ask, with the answer it gets
-ANSWERED = """SELECT id, rank, level, query, confidence,
-    CASE WHEN cached THEN status WHEN query LIKE '%公司%' OR query LIKE '%站%' THEN 'failed' ELSE 'success' END AS status,
+ANSWERED = """SELECT id, rank, level, query, confidence, true AS cached,
+    CASE WHEN tried.cached THEN status WHEN query LIKE '%公司%' OR query LIKE '%站%' THEN 'failed' ELSE 'success' END AS status,
     CASE WHEN cached THEN message WHEN query LIKE '%公司%' THEN '404' WHEN query LIKE '%站%' THEN 'missing location' ELSE 'ok' END
         AS message,
     CASE WHEN cached THEN lon ELSE CAST(length(query) + 100 AS VARCHAR) END AS lon,
@@ -195,7 +195,7 @@ QUERIES = {
         FROM cache k LEFT JOIN (
             SELECT t.query, t.level, {ABOUT}, row_number() OVER (PARTITION BY t.query ORDER BY t.id DESC, t.rank DESC) AS rn
             FROM tried t JOIN structured s USING (id)
-            WHERE NOT EXISTS (SELECT 1 FROM tried b WHERE b.id = t.id AND b.success AND b.rank < t.rank)) a
+            WHERE NOT EXISTS (SELECT 1 FROM tried b WHERE b.id = t.id AND (b.success OR NOT b.cached) AND b.rank < t.rank)) a
         ON a.query = k.query AND a.rn = 1""")),
     "geocode_cascade": (geocode_cascade, _sql(RESOLVED.format(tried="answered"), answered=ANSWERED)),
     "geocode_resume": (geocode_resume, _sql("""SELECT id, 地区, 社会统一信用代码, 企业名称, 标准化地址 FROM (
@@ -203,13 +203,13 @@ QUERIES = {
             row_number() OVER (PARTITION BY 地区, trim(企业名称), 标准化地址 ORDER BY id) AS rn FROM structured)
         WHERE rn = 1 AND NOT contains(企业名称, '某公司')""")),
     "geocode_responses": (geocode_responses, """SELECT CAST(event_id AS VARCHAR) AS query,
-        CASE WHEN event_type IN ('click', 'purchase') OR event_type = 'view' AND user_id = 0 THEN 'success' ELSE 'failed' END AS status,
-        CASE event_type WHEN 'error' THEN 'HTTP 503: busy ' || user_id WHEN 'click' THEN 'ok' WHEN 'view' THEN CAST(user_id AS VARCHAR)
+        CASE WHEN event_type IN ('click', 'purchase') THEN 'success' ELSE 'failed' END AS status,
+        CASE event_type WHEN 'error' THEN 'HTTP 503: busy ' || user_id WHEN 'click' THEN 'ok' WHEN 'view' THEN CASE WHEN user_id = 0 THEN 'missing location' ELSE CAST(user_id AS VARCHAR) END
             WHEN 'purchase' THEN 'OK' ELSE 'missing location' END AS message,
         CASE event_type WHEN 'click' THEN format('{:.15g}', value) WHEN 'purchase' THEN '101.5' END AS lon,
         CASE event_type WHEN 'click' THEN '25.5' WHEN 'purchase' THEN '25.25' END AS lat,
         CASE event_type WHEN 'click' THEN '县' WHEN 'purchase' THEN '' END AS level
-        FROM events WHERE user_id > 0 OR event_type <> 'view'"""),
+        FROM events"""),
     "reverse_poi": (reverse_poi, duck_ctes("points", lookup=LOOKUP) + """
         SELECT original_image AS 原始图片, province_name AS 省, city AS 市, longitude AS 经度, latitude AS 纬度,
             coalesce(l.poi, '') AS POI FROM points LEFT JOIN lookup l ON l.lng = longitude AND l.lat = latitude"""),

@@ -17,10 +17,14 @@ def stream_ingest(spark, sf_dir):
     """Pages land as files, are extracted as a stream, and the sink is deduplicated."""
     landing, sink, state = (scratch_path(spark, n) for n in ("pages", "registry", "state"))
     registry.pages(spark, sf_dir).repartition(8).write.json(landing)
-    source = registry.SOURCE | {"name": "S1"}
-    query = ingest.ingest_pages(spark, landing, sink, state, source, now=registry.NOW, max_files=3)
-    query.awaitTermination()
-    return ingest.read_registry(spark, sink)
+    out = None
+    for name in ("S0", "S1", "S2"):
+        source = registry.SOURCE | {"name": name}
+        query = ingest.ingest_pages(spark, landing, f"{sink}-{name}", f"{state}-{name}", source, now=registry.NOW, max_files=3)
+        query.awaitTermination()
+        rows = ingest.read_registry(spark, f"{sink}-{name}")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def stream_resume(spark, sf_dir):
@@ -33,7 +37,11 @@ def stream_resume(spark, sf_dir):
     query = ingest.resume_enrichment(
         spark, landing, sink, state, lambda batch: G.geocode_resolve(batch, cache), max_files=2)
     query.awaitTermination()
-    return spark.read.parquet(sink).select(*G.ROW_KEY, "查询地址", "地理编码状态", "经度")
+    answered = spark.read.parquet(sink).select(*G.ROW_KEY, "查询地址", "地理编码状态", "经度")
+    waiting = spark.read.parquet(f"{sink}-pending")
+    waiting = waiting.where(F.col("batch_id") == waiting.agg(F.max("batch_id")).first()[0])
+    return answered.unionByName(waiting.select(
+        *G.ROW_KEY, F.lit(None).alias("查询地址"), F.lit(G.PENDING).alias("地理编码状态"), F.lit(None).alias("经度")))
 
 
 def preview_counts(spark, sf_dir):
@@ -66,14 +74,15 @@ def link_bounds(spark, sf_dir):
 INGESTED = f"""SELECT source AS 地区, CAST(o_orderkey AS VARCHAR) AS 社会统一信用代码, '公司' || o_custkey || '_' || o_orderstatus
         AS 企业名称, CASE WHEN o_orderstatus = 'O' THEN '风电' ELSE '太阳能发电' END AS 发电类型,
         format('{{:.15g}}', CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) / 1000) AS 装机容量, '{registry.NOW}' AS 更新时间
-    FROM page_of WHERE {registry.LISTED} AND source = 'S1'"""
+    FROM page_of WHERE {registry.LISTED}"""
 COUNTS = """SELECT f.id, f.enterprise_name, count(l.recognition_id) AS associated_count
     FROM f LEFT JOIN links l ON l.farm_id = f.id GROUP BY f.id, f.enterprise_name"""
 
 QUERIES = {
     "stream_ingest": (stream_ingest, duck_ctes(page_of=registry.PAGE_OF) + INGESTED),
     "stream_resume": (stream_resume, geocoding._sql(
-        """SELECT DISTINCT s.地区, '' AS 社会统一信用代码, s.企业名称, s.标准化地址, r.查询地址, r.地理编码状态, r.经度
+        """SELECT DISTINCT s.地区, '' AS 社会统一信用代码, s.企业名称, s.标准化地址, r.地理编码状态,
+               CASE WHEN r.地理编码状态 <> 'pending' THEN r.查询地址 END AS 查询地址, CASE WHEN r.地理编码状态 <> 'pending' THEN r.经度 END AS 经度
            FROM structured s JOIN resolved r USING (id)""", resolved=geocoding.RESOLVED.format(tried="tried"))),
     "preview_counts": (preview_counts, association._sql(COUNTS)),
     "preview_documents": (preview_documents, association._sql(

@@ -19,6 +19,11 @@ ADDRESS_KEY = [
 ]
 
 
+# of an attempt: it succeeded, or nobody has asked it yet
+OPEN = "NOT cached OR success"
+PENDING = "pending"
+
+
 def candidate_queries() -> Column:
     """Array of (rank, level, query) in the order of trial, blank queries left out."""
     f = {c: strip(c) for c in ADDRESS_KEY}
@@ -77,12 +82,14 @@ def _attempts(structured: DataFrame, cache: DataFrame) -> DataFrame:
 def geocode_resolve(structured: DataFrame, cache: DataFrame) -> DataFrame:
     """Attach the outcome of the cascade to every row.
 
-    The first successful candidate gives the coordinates; without one, the last candidate is
-    reported as failed. The cascade runs on distinct addresses and is joined back.
+    Candidates count in order up to the first that has not failed. If that one succeeded it gives
+    the coordinates; if it has no answer yet the row is pending and names the query to ask. Where
+    every candidate failed, the last is reported as failed. The cascade runs on distinct addresses
+    and is joined back.
     """
     attempts = _attempts(structured, cache)
-    # successes first, earliest rank; otherwise the latest attempt
-    order = [F.col("success").desc(), F.when(F.col("success"), F.col("rank")).otherwise(-F.col("rank"))]
+    open_ = F.expr(OPEN)
+    order = [open_.desc(), F.when(open_, F.col("rank")).otherwise(-F.col("rank"))]
     chosen = first_per_key(attempts, ["_fp"], order).select(
         "_fp",
         F.col("query").alias("查询地址"),
@@ -90,7 +97,7 @@ def geocode_resolve(structured: DataFrame, cache: DataFrame) -> DataFrame:
         F.when(F.col("success"), text("lat")).otherwise("").alias("纬度"),
         F.col("level").alias("定位级别"),
         level_confidence(F.col("level")).alias("经纬度可信度"),
-        F.when(F.col("success"), "success").otherwise("failed").alias("地理编码状态"),
+        F.when(F.col("success"), "success").when(~F.col("cached"), PENDING).otherwise("failed").alias("地理编码状态"),
         text("message").alias("地理编码消息"),
     )
     rows = computed_once(structured.drop(*K.GEOCODE_COLUMNS), _fp=address_fingerprint())
@@ -104,7 +111,7 @@ def geocode_resolve(structured: DataFrame, cache: DataFrame) -> DataFrame:
 def geocode_pending(structured: DataFrame, cache: DataFrame) -> DataFrame:
     """Queries worth asking next: per address the first candidate that has not failed, where it
     is not cached yet. Distinct, with the best rank and level that asks for it."""
-    open_ = _attempts(structured, cache).where("NOT cached OR success")
+    open_ = _attempts(structured, cache).where(OPEN)
     front = first_per_key(open_, ["_fp"], [F.col("rank")]).where("NOT cached")
     return front.groupBy("query").agg(
         F.min(F.struct("rank", "level")).alias("first")
@@ -142,17 +149,24 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+def new_answers(cache: DataFrame, responses: DataFrame) -> DataFrame:
+    """Parsed responses to queries that the cache does not hold. Of several responses to one query the
+    one landed last counts (column landed_at, where there is one), then the smallest status and body."""
+    landed = [F.col("landed_at").desc_nulls_last()] if "landed_at" in responses.columns else []
+    single = first_per_key(responses, ["query"], [*landed, F.col("http_status"), F.col("body")])
+    return parse_responses(single).join(cache.select("query"), "query", "left_anti")
+
+
 def merge_responses(cache: DataFrame, responses: DataFrame) -> DataFrame:
     """Cache plus parsed responses; an answer already in the cache stays."""
-    fresh = parse_responses(responses).dropDuplicates(["query"]).join(cache.select("query"), "query", "left_anti")
-    return cache.unionByName(fresh, allowMissingColumns=True)
+    return cache.unionByName(new_answers(cache, responses), allowMissingColumns=True)
 
 
 def enrich_cache(cache: DataFrame, structured: DataFrame, row_no: str) -> DataFrame:
     """Write into each cache entry the level and the address fields of the last row that asked.
 
-    A row asks its candidates in order up to the first success, so only candidates up to there
-    count as asked.
+    A row asks its candidates in order up to the first that has not failed, so only candidates up to
+    there count as asked.
     """
     about = {
         "original_address": "原始地址片段", "standard_address": "标准化地址", "company_name": "企业名称",
@@ -160,7 +174,7 @@ def enrich_cache(cache: DataFrame, structured: DataFrame, row_no: str) -> DataFr
     }
     rows = _with_cascade(structured).select(row_no, "_cands", "_fp", *[strip(c).alias(n) for n, c in about.items()])
     attempts = _attempts(structured, cache)
-    stop = attempts.where("success").groupBy("_fp").agg(F.min("rank").alias("_stop"))
+    stop = attempts.where(OPEN).groupBy("_fp").agg(F.min("rank").alias("_stop"))
     asked = (
         rows.join(stop, "_fp", "left")
         .select(row_no, *about, "_stop", F.explode("_cands").alias("c"))
@@ -190,14 +204,19 @@ def skip_processed(rows: DataFrame, done: DataFrame, row_no: str | None = None)
     return first.join(seen, keys, "left_anti").drop(*keys)
 
 
-def cascade(structured: DataFrame, cache: DataFrame, answer, max_waves: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Resolve in waves. `answer(pending)` returns landed responses for the pending queries;
-    each wave's cache is written out, so lineage does not grow. Returns (geocoded, cache)."""
-    for _ in range(max_waves):
+def cascade(structured: DataFrame, cache: DataFrame, answer) -> tuple[DataFrame, DataFrame]:
+    """Resolve in waves until no query is open or a wave brings no answer. `answer(pending)` returns
+    landed responses for the pending queries; answers may be late or partial. Each wave's cache is
+    written out, so lineage does not grow. Returns (geocoded, cache); rows whose queries are still
+    open are pending, and `geocode_pending` lists those queries."""
+    while True:
         pending = durable(geocode_pending(structured, cache))
         if pending.isEmpty():
             break
-        cache = durable(merge_responses(cache, answer(pending)))
+        fresh = durable(new_answers(cache, answer(pending)))
+        if fresh.isEmpty():
+            break
+        cache = durable(cache.unionByName(fresh, allowMissingColumns=True))
     return geocode_resolve(structured, cache), cache
 
 

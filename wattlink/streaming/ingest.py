@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wattlink import constants as K, schemas
 from wattlink.operators import geocode, registry
+from wattlink.session import durable
 from wattlink.sources.csvio import path_exists
 
 
@@ -47,15 +48,48 @@ def read_registry(spark: SparkSession, sink: str) -> DataFrame:
     return registry.latest_records(spark.read.parquet(sink).select(*K.REGISTRY_COLUMNS))
 
 
+def _pending(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
+    """Rows still unanswered after the last batch before `batch_id`; every batch writes all of them."""
+    if not path_exists(spark, f"{sink}-pending/batch_id=*"):
+        return None
+    rows = spark.read.parquet(f"{sink}-pending").where(F.col("batch_id") < batch_id)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return None if last is None else rows.where(F.col("batch_id") == last).drop("batch_id")
+
+
+def _land_answered(spark: SparkSession, rows: DataFrame, sink: str, batch_id: int, enrich, mode: str = "overwrite") -> None:
+    """Answered rows go to the sink; pending ones are kept apart, to be asked again."""
+    if mode == "append":
+        done = spark.read.parquet(sink).select(*geocode.ROW_KEY) if path_exists(spark, f"{sink}/batch_id=*") else None
+    else:
+        done = _batches_before(spark, sink, batch_id, geocode.ROW_KEY)
+    fresh = geocode.skip_processed(rows, done) if done is not None else rows
+    enriched = durable(enrich(fresh))
+    open_ = F.col("地理编码状态") == geocode.PENDING if "地理编码状态" in enriched.columns else F.lit(False)
+    enriched.where(~open_).write.mode(mode).parquet(f"{sink}/batch_id={batch_id}")
+    _write_batch(enriched.where(open_).select(*K.STRUCTURED_COLUMNS), f"{sink}-pending", batch_id)
+
+
 def resume_enrichment(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                       enrich: Callable[[DataFrame], DataFrame], available_now: bool = True,
                       max_files: int = 1000) -> StreamingQuery:
-    """Enrich structured rows that are not in the sink yet; known row keys are skipped."""
+    """Enrich structured rows that are not in the sink yet; known row keys are skipped. Rows that come
+    back pending are not in the sink: every later batch asks them again, and `retry_pending` does so
+    without new input."""
     rows = spark.readStream.schema(schemas.STRUCTURED).option("maxFilesPerTrigger", max_files).parquet(landing)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        done = _batches_before(spark, sink, batch_id, geocode.ROW_KEY)
-        _write_batch(enrich(geocode.skip_processed(batch, done)), sink, batch_id)
+        waiting = _pending(spark, sink, batch_id)
+        _land_answered(spark, batch if waiting is None else batch.unionByName(waiting), sink, batch_id, enrich)
 
     writer = rows.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def retry_pending(spark: SparkSession, sink: str, enrich: Callable[[DataFrame], DataFrame]) -> None:
+    """Ask the rows that are still pending once more, between runs of the stream. Answered rows are
+    appended first, and rows already in the sink are skipped, so a repeated call adds nothing twice."""
+    waiting = _pending(spark, sink, 1 << 62)
+    if waiting is not None:
+        last = spark.read.parquet(f"{sink}-pending").agg(F.max("batch_id")).first()[0]
+        _land_answered(spark, durable(waiting), sink, int(last), enrich, mode="append")
