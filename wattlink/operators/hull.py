@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SCHEMA = "farm_id long, n long, seq long, lng double, lat double"
+HOLD = 10_000     # rows of one farm held before they are shrunk
+SALTS = 16        # tasks that shrink a hot farm before its last one
 SHRINK_FROM = 16  # a farm with fewer rows in a batch is sent on as it is
 
 
@@ -66,13 +68,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         large = np.repeat(lengths >= SHRINK_FROM, lengths)
         parts = [batch[~large]]
         for start, length in zip(starts[lengths >= SHRINK_FROM], lengths[lengths >= SHRINK_FROM]):
-            rows = batch.iloc[start:start + length]
-            outer = outer_points(rows[["lng", "lat"]].to_numpy())
-            counts = np.zeros(len(outer), dtype="int64")
-            counts[0] = rows["n"].sum()
-            parts.append(pd.DataFrame({
-                "farm_id": ids[start], "n": counts, "seq": 1, "lng": outer[:, 0], "lat": outer[:, 1],
-            }))
+            parts.append(_outer(batch.iloc[start:start + length]))
         yield pd.concat(parts)
 
 
@@ -83,17 +79,38 @@ def _hull_of(n: int, points: list[tuple[float, float]]) -> list[dict]:
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hulls of farms whose rows follow each other, across batch borders."""
-    held: pd.DataFrame | None = None
+    """Hulls of farms whose rows follow each other, across batch borders. Of the farm that a batch
+    ends with, only possible vertices are held once its rows have doubled."""
+    held: list[pd.DataFrame] = []
+    size = limit = 0
     for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch])
-        ids = rows["farm_id"].to_numpy()
+        ids = batch["farm_id"].to_numpy()
+        if held and ids[0] != held[0]["farm_id"].iloc[0]:
+            yield _hulls(pd.concat(held))
+            held, size = [], 0
+        first = int(np.searchsorted(ids, ids[0], side="right"))
         last = int(np.searchsorted(ids, ids[-1], side="left"))
-        held = rows.iloc[last:]
-        if last:
-            yield _hulls(rows.iloc[:last])
-    if held is not None and len(held):
-        yield _hulls(held)
+        if last:  # the batch completes the held farm, and others between
+            yield _hulls(pd.concat([*held, batch.iloc[:first]]))
+            if last > first:
+                yield _hulls(batch.iloc[first:last])
+            held, size = [], 0
+        held.append(batch.iloc[last:])
+        size += len(batch) - last
+        if size > max(limit, HOLD):
+            held = [_outer(pd.concat(held))]
+            size = len(held[0])
+            limit = 2 * size
+    if held:
+        yield _hulls(pd.concat(held))
+
+
+def _outer(rows: pd.DataFrame) -> pd.DataFrame:
+    """The possible vertices of one farm's rows; the first carries their number."""
+    outer = outer_points(rows[["lng", "lat"]].to_numpy())
+    counts = np.zeros(len(outer), dtype="int64")
+    counts[0] = rows["n"].sum()
+    return pd.DataFrame({"farm_id": rows["farm_id"].iloc[0], "n": counts, "seq": 1, "lng": outer[:, 0], "lat": outer[:, 1]})
 
 
 def _hulls(rows: pd.DataFrame) -> pd.DataFrame:
@@ -123,6 +140,9 @@ def farm_hulls(farms: DataFrame, links: DataFrame, points: DataFrame, partial: b
     seeds = own.unionByName(linked)
     if partial:
         seeds = seeds.mapInPandas(_combine, SCHEMA)
+        # what many tasks leave of a hot farm shrinks again in a few before it meets in one
+        salt = F.pmod(F.xxhash64("lng", "lat"), F.lit(SALTS))
+        seeds = seeds.repartition("farm_id", salt).mapInPandas(_combine, SCHEMA)
     together = seeds.repartition("farm_id").sortWithinPartitions("farm_id", "seq")
     return together.mapInPandas(
         _finish, "farm_id long, point_count long, boundary array<struct<lng:double,lat:double>>"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +26,35 @@ RUNTIME_DEFAULTS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply `RUNTIME_DEFAULTS` to a session without overriding explicit settings."""
+    """Apply `RUNTIME_DEFAULTS` to a session without overriding explicit settings, and ship the package."""
     explicit = {key for key, _ in spark.sparkContext.getConf().getAll()}
     for key, value in RUNTIME_DEFAULTS.items():
         if key not in explicit:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per Spark application, so that Python stages find it
+    wherever the session was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_wattlink_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="wattlink-package-")  # on the driver, which serves the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "wattlink.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(top, name)
+                    z.write(file, os.path.join("wattlink", os.path.relpath(file, here)))
+    context.addPyFile(archive)
+    context._wattlink_shipped = True
+
+
 def build_session(app: str = "wattlink", master: str | None = None, **conf: str) -> SparkSession:
     # checkpoints of finished loops are removed once nothing refers to them
     builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
