@@ -96,7 +96,9 @@ def utf16_length(c: Column) -> Column:
 
 def like_any_case(c: Column, term: str) -> Column:
     """`LIKE '%term%'` ignoring ASCII case; % and _ in the term stay wildcards, \\ is literal."""
-    return c.ilike("%" + term.replace("\\", "\\\\") + "%")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    folded = term.translate(str.maketrans(upper, lower))
+    return F.translate(c, upper, lower).like("%" + folded.replace("\\", "\\\\") + "%")
 
 
 def url_component(c: Column) -> Column:

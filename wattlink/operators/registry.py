@@ -64,7 +64,7 @@ def complete_pages(sized: DataFrame) -> DataFrame:
     is an anti-join on (source, page) and a partial minimum, so no source is walked in one task.
     """
     good = sized.where("n_items > 0").select("source", "page").distinct()
-    starts = sized.select("source", F.lit(1).cast("long").alias("page"))
+    starts = sized.select("source").distinct().withColumn("page", F.lit(1).cast("long"))
     successors = good.select("source", (F.col("page") + 1).alias("page")).union(starts)
     gaps = (
         successors.join(good, ["source", "page"], "left_anti")
@@ -85,25 +85,43 @@ def with_details(ids: DataFrame, details: DataFrame) -> DataFrame:
     return ids.join(details, "id", "inner")
 
 
+def template_leaves(params) -> list[tuple[tuple, object]]:
+    """(path, value) of every value in a request template that is neither object nor list, in order."""
+    leaves, stack = [], [((), params)]
+    while stack:
+        path, value = stack.pop()
+        inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else None
+        if inner is None:
+            leaves.append((path, value))
+        else:
+            stack.extend(reversed([((*path, key), below) for key, below in inner]))
+    return leaves
+
+
+def page_slot(params) -> tuple | None:
+    """Path of the first number under a page-number name, outside lists."""
+    names = [(path, value) for path, value in template_leaves(params) if path and all(isinstance(k, str) for k in path)]
+    return next((p for p, v in names if p[-1].lower() in K.PAGE_NUMBER_KEYS and isinstance(v, (int, float))), None)
+
+
 def page_number_path(params) -> str | None:
-    """Dotted path of the first page-number field of a request template, depth first."""
-    if not isinstance(params, dict):
-        return None
-    for key, value in params.items():
-        if key.lower() in K.PAGE_NUMBER_KEYS and isinstance(value, (int, float)):
-            return key
-        below = page_number_path(value)
-        if below:
-            return f"{key}.{below}"
-    return None
+    """The page slot in dotted form."""
+    slot = page_slot(params)
+    return None if slot is None else ".".join(slot)
 
 
-_SLOT = "slot"
+_SLOT = "\ue000slot\ue000"
 
 
-def _template(params) -> list[str]:
-    body = json.dumps(params, ensure_ascii=False, separators=(",", ":"))
-    return body.split(_SLOT)
+def _template(params, slots: dict[tuple, object]) -> list[str]:
+    """The template as JSON, with other values in some slots, cut at the slot marks."""
+    params = copy.deepcopy(params)
+    for path, value in slots.items():
+        holder = params
+        for key in path[:-1]:
+            holder = holder[key]
+        holder[path[-1]] = value
+    return json.dumps(params, ensure_ascii=False, separators=(",", ":")).split(_SLOT)
 
 
 def request_manifest(totals: DataFrame, source: dict, block: int = 100_000) -> DataFrame:
@@ -113,8 +131,8 @@ def request_manifest(totals: DataFrame, source: dict, block: int = 100_000) -> D
     total neither builds one long array nor stays in one task.
     """
     api = source["list_api"]
-    params, paging = copy.deepcopy(api.get("json_params", {})), api.get("pagination")
-    path = page_number_path(params) if paging else None
+    params, paging = api.get("json_params", {}), api.get("pagination")
+    slot = page_slot(params) if paging else None
     pages = page_count(F.col("total"), paging.get("page_size", 10)) if paging else F.lit(1).cast("long")
     blocks = (
         totals.where("total > 0").withColumn("_last", pages)
@@ -127,15 +145,12 @@ def request_manifest(totals: DataFrame, source: dict, block: int = 100_000) -> D
             F.sequence(F.col("_block") * block + 1, F.least((F.col("_block") + 1) * block, F.col("_last")))
         ).alias("page"),
     )
-    if path:
-        target, keys = params, path.split(".")
-        for key in keys[:-1]:
-            target = target[key]
-        target[keys[-1]] = _SLOT
-        head, tail = json.dumps(params, ensure_ascii=False, separators=(",", ":")).split(f'"{_SLOT}"')
-        body = F.concat(F.lit(head), F.col("page").cast("string"), F.lit(tail))
+    if slot:
+        # a number takes the place of the quoted mark
+        head, tail = _template(params, {slot: _SLOT})
+        body = F.concat(F.lit(head[:-1]), F.col("page").cast("string"), F.lit(tail[1:]))
     else:
-        body = F.lit(json.dumps(params, ensure_ascii=False, separators=(",", ":")))
+        body = F.lit("".join(_template(params, {})))
     return numbered.withColumn("body", body)
 
 
@@ -144,14 +159,9 @@ def detail_requests(ids: DataFrame, source: dict) -> DataFrame:
     api = source["detail_api"]
     placeholder = api.get("id_placeholder", "{id}")
 
-    def slotted(value):
-        if isinstance(value, dict):
-            return {k: slotted(v) for k, v in value.items()}
-        if isinstance(value, list):
-            return [slotted(v) for v in value]
-        return value.replace(placeholder, _SLOT) if isinstance(value, str) else value
-
-    pieces = _template(slotted(api.get("json_params", {})))
+    params = api.get("json_params", {})
+    texts = {path: value.replace(placeholder, _SLOT) for path, value in template_leaves(params) if isinstance(value, str)}
+    pieces = _template(params, texts)
     quoted = F.to_json(F.struct(F.col("id").alias("v")))
     escaped = F.substring(quoted, F.lit(7), F.length(quoted) - 8)
     body = [F.lit(pieces[0])]

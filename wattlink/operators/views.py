@@ -18,16 +18,10 @@ def energy_match(energy_type: str) -> Column:
     return F.col("power_type").isin(K.ENERGY_POWER_TYPES["wind" if energy_type == "wind" else "solar"])
 
 
-def province_aliases(province: str) -> list[str]:
-    ending = K.PROVINCE_ENDINGS.get(province)
-    return [province] if ending is None else [province, province + ending]
-
-
 def province_match(column: str, province: str) -> Column:
-    """Column contains an alias of the province. An unknown name keeps LIKE rules."""
-    aliases = province_aliases(province)
-    if len(aliases) > 1:
-        # every alias starts with the short name
+    """Column names the province: a known short name is contained as it is, since every full name
+    begins with it; any other text keeps LIKE rules."""
+    if province in K.PROVINCES:
         return F.col(column).contains(province)
     return like_any_case(F.col(column), province)
 
