@@ -104,18 +104,18 @@ class Words:
     """The words of a run of texts as byte spans of one buffer.
 
     data: lower-cased UTF-8 (A-Z only) with one separator byte after each text; begin, end: span of
-    each word; doc: number of its text within the run; first: number of the first word of each text,
+    each word; doc: number of its text within the run; sizes: bytes of each text; first: number of the first word of each text,
     with the total at the end.
     """
 
     def __init__(self, texts: list, separators: np.ndarray = _SPACE):
         encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.data = _LOWER[np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
+        self.sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         inside = ~separators[self.data]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
         self.begin, self.end = edges[0::2], edges[1::2]
-        limits = np.concatenate([[0], np.cumsum(sizes)])
+        limits = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         self.first = np.searchsorted(self.begin, limits)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
