@@ -41,6 +41,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def thinned(df: DataFrame, rows: int, wanted: int, key: str) -> DataFrame:
+    """About four times `wanted` of `rows` rows, by a hash column, so that the first `wanted` of them in
+    hash order are found without every task sending that many to the driver."""
+    return df.where(F.pmod(F.col(key), F.lit(max(1, rows // (4 * wanted)))) == 0)
+
+
 def text_blocks(texts: list, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Cut a batch of texts into runs of about `most_bytes` characters, so that array work on a
     run has bounded memory. One long text is a run of its own."""

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wattlink.llm.common import added_up, as_blobs, text_blocks
+from wattlink.llm.common import added_up, as_blobs, text_blocks, thinned
 
 BUCKETS, BLOB = 1 << 16, 1 << 12
 BLOCK_BYTES = 1_000_000
@@ -117,8 +117,11 @@ class Model:
 def learned(training: DataFrame, fit: Fit = Fit()) -> Model | None:
     """From all rows of text and lang (no nulls). What comes to the driver is one count array per
     language and the bounded sample."""
-    training = training.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    langs = sorted(r["lang"] for r in training.groupBy("lang").count().where(F.col("count") >= fit.min_texts).collect())
+    # the id, where there is one, keeps copies of one text from being drawn together
+    drawn = F.xxhash64(*[c for c in ("doc_id", "text") if c in training.columns])
+    training = training.select("text", "lang", drawn.alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().where(F.col("count") >= fit.min_texts).collect()}
+    langs = sorted(sizes)
     if not langs:
         return None
     place = {lang: k for k, lang in enumerate(langs)}
@@ -138,12 +141,12 @@ def learned(training: DataFrame, fit: Fit = Fit()) -> Model | None:
             [pa.array([p for p, _ in blobs], pa.int64()), pa.array([c for _, c in blobs], pa.binary())], ["part", "counts"])
 
     counts = np.zeros(len(langs) * BUCKETS, np.int64)
-    for row in added_up(training.mapInArrow(count, "part long, counts binary")).collect():
+    for row in added_up(training.select("text", "lang").mapInArrow(count, "part long, counts binary")).collect():
         piece = np.frombuffer(row["counts"], np.int64)
         counts[row["part"] * BLOB:row["part"] * BLOB + len(piece)] = piece
     model = Model(langs, counts.reshape(len(langs), BUCKETS), fit)
-    few = training.where(F.col("lang").isin(langs)) if len(langs) < 1000 else training
-    rows = [r for r in few.orderBy(F.xxhash64("text"), "lang").limit(fit.sample_rows).collect() if r["lang"] in place]
+    few = thinned(training, sum(sizes.values()), fit.sample_rows, "h")
+    rows = [r for r in few.orderBy("h", "lang", "text").limit(fit.sample_rows).collect() if r["lang"] in place]
     model.calibrate([r["text"] for r in rows], [r["lang"] for r in rows])
     return model
 
