@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from wattlink.checks import association as C, fixtures
+from wattlink.checks import association as C, fixtures, registry as P
 from wattlink.operators import association as A, registry as R, views as V
+from wattlink.plans import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +55,21 @@ def test_energy_partition_is_pruned(spark, tmp_path):
     assert "PartitionFilters" in text and "energy_type" in text.split("PartitionFilters", 1)[1].split("\n")[0]
 
 
+def test_pages_and_links_are_read_once(spark, tmp_path, monkeypatch):
+    """Sources share one pass for their gaps; automatic links are not planned again for the manual ones."""
+    scans = []
+    write = jobs.stored
+    monkeypatch.setattr(jobs, "stored", lambda df, label: scans.append(plan(df).count("Scan parquet")) or write(df, label))
+    path = str(tmp_path / "pages")
+    P.pages(spark, SF).write.parquet(path)
+    sources = [P.SOURCE | {"name": f"S{i}"} for i in range(3)]
+    rows = jobs.registry_from_pages(spark.read.parquet(path), sources, now=P.NOW)
+    # the gaps need the pages for good ones, their successors and the first page of each source
+    assert scans[0] <= 2 * 3 * 3 and plan(rows).split("== Physical Plan ==")[1].count(f"Location: InMemoryFileIndex [file:{path}]") <= 3
+    links = C._links(spark, SF)[2]
+    assert "nearest" not in plan(links) and plan(links).count("WindowGroupLimit") == 0
+
+
 def test_hot_lookup_key_is_split(spark):
     """A key that holds most rows of a lookup's big side is spread over several tasks."""
     settings = {

@@ -43,12 +43,16 @@ def test_preview(world):
 def test_documents_in_chunks(world):
     farms, points, manual = world
     p = jobs.association_preview(farms, points, manual, "wind", "radius", 1.0)
-    docs = [json.loads(r["json"]) for r in jobs.farm_documents(p, chunk=15).orderBy("farm_id", "chunk_no").collect()]
-    assert [len(d["associated"]) for d in docs] == [15, 15, 10, 2]
-    ids = [x["recognition_id"] for d in docs[:3] for x in d["associated"]]
-    assert ids == list(range(39, -1, -1))
+    docs = [json.loads(r["json"]) for r in jobs.farm_documents(p).orderBy("farm_id").collect()]
+    assert [(d["id"], d["associated_count"], len(d["preview_images"])) for d in docs] == [(1, 40, 8), (2, 2, 2)]
     assert docs[0]["boundary"] == [{"lng": 102.0, "lat": 25.0}, {"lng": 102.0039, "lat": 25.0}]
-    assert [x["recognition_id"] for x in docs[3]["associated"]] == [90, 3]
+    lists = [json.loads(r["json"]) for r in jobs.link_documents(p, chunk=15).orderBy("farm_id", "chunk_no").collect()]
+    assert [(d["id"], len(d["associated"])) for d in lists] == [(1, 15), (1, 15), (1, 10), (2, 2)]
+    ids = [x["recognition_id"] for d in lists[:3] for x in d["associated"]]
+    assert ids == list(range(39, -1, -1))
+    assert [x["recognition_id"] for x in lists[3]["associated"]] == [90, 3]
+    assert lists[3]["associated"][0]["image_url"] == "/api/recognition/image?type=wind&name=90.jpg"
+    assert {(r["kind"], r["id"]) for r in p.unlocated.collect()} == {("farm", 3), ("point", 91)}
 
 
 def test_poi_mode_and_province(world):

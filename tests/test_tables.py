@@ -40,6 +40,23 @@ def test_templates_import(spark, tmp_path):
         csvio.import_template(spark, "other")
 
 
+def test_export_file_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 'x "y", z'), (" b ", None)], "`图` string, `省,市` string").coalesce(1)
+    csvio.write_export(rows, str(tmp_path / "export"))
+    parts = sorted(f for f in os.listdir(tmp_path / "export") if f.startswith("part"))
+    whole = b"".join((tmp_path / "export" / p).read_bytes() for p in parts)
+    assert whole.decode() == csvio.BOM + '图,"省,市"\na,"x ""y"", z"\n b ,\n'
+
+
+def test_first_row_decides_the_format(spark):
+    columns = "row_no long, Tile_Name string, Longitude string, Latitude string, Province string, City_County string, POI string"
+    rows = [(4, "", "1", "2", "p", "c", ""), (2, "a.jpg", "1", "2", "p", "c", ""), (9, "b.jpg", "", "2", "p", "c", "")]
+    with pytest.raises(I.ImportRejected, match="第 4 行缺少必填字段: original_image"):
+        I.validate_import(spark.createDataFrame(rows, columns), "solar-recognition")
+    with pytest.raises(I.ImportRejected, match="格式不正确"):
+        I.validate_import(spark.createDataFrame([(1, *rows[0][1:]), *rows[1:]], columns), "solar-recognition")
+
+
 def test_import_file_quirks(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'a,b\n 1 , "x\n"\n\n"2,","say ""hi"""\n')
     rows = [tuple(r) for r in csvio.read_import_csv(spark, path).select("row_no", "a", "b").collect()]

@@ -10,6 +10,7 @@ from wattlink.checks.fixtures import duck_ctes, spark_view, table
 from wattlink.functions import documents as D, measure as M
 from wattlink.functions.text import PY_SPACE
 from wattlink.operators import registry as R
+from wattlink.operators.ranking import in_read_order
 from wattlink.plans.jobs import registry_from_pages
 
 NOW = "2026-01-01 00:00:00"
@@ -50,8 +51,8 @@ def registry_latest_by_max(spark, sf_dir):
 
 
 def registry_newest(spark, sf_dir):
-    """The twenty newest records in output order."""
-    return R.newest_first(R.latest_records(observations(spark, sf_dir))).limit(20)
+    """All newest records with their place in output order."""
+    return in_read_order(R.newest_first(R.latest_records(observations(spark, sf_dir))), "place")
 
 
 def registry_append(spark, sf_dir):
@@ -138,13 +139,15 @@ def registry_list_only(spark, sf_dir):
 
 
 def registry_list_then_detail(spark, sf_dir):
-    source = SOURCE | {"fetch_mode": "list_then_detail", "extraction_mapping": {
+    """Two sources with detail documents and one without, in one run."""
+    detailed = SOURCE | {"fetch_mode": "list_then_detail", "extraction_mapping": {
         "社会统一信用代码": "d.code", "企业名称": ["d.none", "d.name"], "发电类型": "d.type", "装机容量": "d.cap"}}
+    sources = [detailed, detailed | {"name": "S1"}, SOURCE | {"name": "S2"}]
     details = spark_view(spark, sf_dir, """SELECT CAST(o_orderkey AS STRING) AS id, CONCAT('{"d":{"code":"', CAST(o_custkey AS STRING),
         '","name":"电站', CAST(o_orderkey AS STRING), '","type":"热电联产","cap":', CAST(o_custkey AS STRING), '}}') AS body
         FROM @orders@ WHERE o_orderstatus <> 'P'""")
     details = details.select("id", D.document(F.col("body")).alias("doc"))
-    return registry_from_pages(pages(spark, sf_dir), [source], details, now=NOW)
+    return registry_from_pages(pages(spark, sf_dir), sources, details, now=NOW)
 
 
 def request_manifest(spark, sf_dir):
@@ -193,9 +196,9 @@ WHOLE = """SELECT s.source, s.page, s.n_items FROM sizes s WHERE NOT EXISTS (
 QUERIES = {
     "registry_latest": (registry_latest, LATEST_SQL),
     "registry_latest_by_max": (registry_latest_by_max, LATEST_SQL),
-    "registry_newest": (registry_newest, duck_ctes("observations", observed=OBSERVED, latest=LATEST) + """SELECT * FROM latest
+    "registry_newest": (registry_newest, duck_ctes("observations", observed=OBSERVED, latest=LATEST) + """SELECT *, row_number() OVER (
         ORDER BY try_strptime(更新时间, '%Y-%m-%d %H:%M:%S') DESC NULLS LAST, 地区 NULLS FIRST, 社会统一信用代码 NULLS FIRST,
-            企业名称 NULLS FIRST, 发电类型 NULLS FIRST, 装机容量 NULLS FIRST LIMIT 20"""),
+            企业名称 NULLS FIRST, 发电类型 NULLS FIRST, 装机容量 NULLS FIRST, 更新时间 NULLS FIRST) AS place FROM latest"""),
     "registry_append": (registry_append, LATEST_SQL),
     "capacity_mw": (capacity_mw, duck_ctes("observations")
                     + f"SELECT event_id, capacity_raw, {capacity_sql('capacity_raw')} AS capacity FROM observations"),
@@ -223,7 +226,11 @@ QUERIES = {
     "registry_list_then_detail": (registry_list_then_detail, duck_ctes(page_of=PAGE_OF, sizes=SIZES, whole=WHOLE) + f"""
         SELECT source AS 地区, CAST(o_custkey AS VARCHAR) AS 社会统一信用代码, '电站' || o_orderkey AS 企业名称, '火电' AS 发电类型,
             CAST(o_custkey AS VARCHAR) AS 装机容量, '{NOW}' AS 更新时间
-        FROM page_of JOIN whole USING (source, page) WHERE {LISTED} AND source = 'S0' AND o_orderstatus <> 'P'"""),
+        FROM page_of JOIN whole USING (source, page) WHERE {LISTED} AND source <> 'S2' AND o_orderstatus <> 'P'
+        UNION ALL SELECT source, CAST(o_orderkey AS VARCHAR), '公司' || o_custkey || '_' || o_orderstatus,
+            CASE WHEN o_orderstatus = 'O' THEN '风电' ELSE '太阳能发电' END,
+            format('{{:.15g}}', CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) / 1000), '{NOW}'
+        FROM page_of JOIN whole USING (source, page) WHERE {LISTED} AND source = 'S2'"""),
     "request_manifest": (request_manifest, """WITH t AS (SELECT o_orderpriority AS source, count(*) AS total FROM orders GROUP BY 1)
         SELECT source, page, '{"criteria":{"match":{"owner_part":""}},"params":{"descending":true,"currentPage":' || page || ',"pageSize":12}}'
             AS body

@@ -74,16 +74,19 @@ def upsert_points(spark, sf_dir):
     # a line number can repeat within an order: number the rows
     rows = numbered(rows.drop("row_no"), [F.col(c) for c in ("original_image", "city", "turbine_lon")])
     state = I.import_points(points, rows, "wind", spark_view(spark, sf_dir, "images"), NOW)
-    return state.select("energy_type", "original_image", "province_code", "province_name", "city", "longitude",
-                        "image_exists", "updated_at")
+    return state.select("id", "energy_type", "original_image", "province_code", "province_name", "city", "longitude",
+                        "latitude", "poi", "image_exists", "created_at", "updated_at")
 
 
-def upsert_manual(spark, sf_dir):
-    wanted = spark_view(spark, sf_dir, """SELECT o_orderkey AS row_no,
+def _wanted_links(spark, sf_dir):
+    return spark_view(spark, sf_dir, """SELECT o_orderkey AS row_no,
         CASE WHEN o_orderstatus = 'O' THEN 'wind' ELSE 'solar' END AS energy_type,
         o_custkey + 1 AS farm_id, CASE WHEN o_orderpriority = '5-LOW' THEN -o_orderkey ELSE o_orderkey + 1 END AS recognition_id
         FROM @orders@""")
-    return I.add_manual_links(_manual(spark, sf_dir), wanted, _farms(spark, sf_dir), _points(spark, sf_dir), NOW)
+
+
+def upsert_manual(spark, sf_dir):
+    return I.add_manual_links(_manual(spark, sf_dir), _wanted_links(spark, sf_dir), _farms(spark, sf_dir), _points(spark, sf_dir), NOW)
 
 
 def delete_filtered(spark, sf_dir):
@@ -91,7 +94,14 @@ def delete_filtered(spark, sf_dir):
 
 
 def delete_all(spark, sf_dir):
-    return I.delete_where(_farms(spark, sf_dir), V.farm_condition()).agg(F.count("*").alias("rows_left"))
+    """A delete without a condition, through snapshots written and read back."""
+    root = scratch_path(spark, "tables")
+    T.write_table(_farms(spark, sf_dir), root, "power_fields")
+    before = T.read_table(spark, root, "power_fields")
+    T.write_table(I.delete_where(before, V.farm_condition()), root, "power_fields")
+    left = T.read_table(spark, root, "power_fields")
+    states = [df.select(F.lit(state).alias("state")) for state, df in (("before", before), ("left", left))]
+    return states[0].unionByName(states[1]).agg(*[F.count_if(F.col("state") == s).alias(f"rows_{s}") for s in ("before", "left")])
 
 
 def delete_unlinked(spark, sf_dir):
@@ -101,10 +111,10 @@ def delete_unlinked(spark, sf_dir):
 
 
 def delete_manual(spark, sf_dir):
-    gone = spark_view(spark, sf_dir, "points").where("image_exists = 0 OR latitude = ''").select(
-        "energy_type", F.col("id").alias("recognition_id"))
-    return I.delete_keys(_manual(spark, sf_dir), gone, ["energy_type", "recognition_id"]).select(
-        "energy_type", "farm_id", "recognition_id")
+    """By the full key; some of the wanted links name another farm and delete nothing."""
+    gone = _wanted_links(spark, sf_dir).withColumn("farm_id", F.col("farm_id") + F.col("recognition_id") % 2)
+    return I.delete_keys(_manual(spark, sf_dir), gone, ["energy_type", "farm_id", "recognition_id"]).select(
+        "id", "energy_type", "farm_id", "recognition_id")
 
 
 def validate_rows(spark, sf_dir):
@@ -115,6 +125,46 @@ def validate_rows(spark, sf_dir):
     return I.with_first_problem(rows, "solar-recognition").where("missing_field IS NOT NULL").select("id", "missing_field")
 
 
+def import_header_check(spark, sf_dir):
+    """What recognition files are refused with: the same rows with the first bad row in its place, and ahead of all."""
+    points = _points(spark, sf_dir)
+    cells = {"原始图片": "original_image", "经度": "longitude", "纬度": "latitude", "省": "province_code", "市": "city", "POI": "poi"}
+    files = {
+        "in place": points.select(F.when(F.col("longitude") == "", F.col("id")).otherwise(F.col("id") - (1 << 40)).alias("row_no"),
+                                  *[F.col(c).alias(n) for n, c in cells.items()]),
+        "ahead": points.select(F.when(F.col("longitude") == "", F.col("id") - (1 << 40)).otherwise(F.col("id")).alias("row_no"),
+                               *[F.col(c).alias(n) for n, c in cells.items()]),
+    }
+    found = []
+    for name, rows in files.items():
+        try:
+            I.validate_import(rows, "solar-recognition")
+            found.append((name, None))
+        except I.ImportRejected as e:
+            found.append((name, str(e)))
+    return spark.createDataFrame(found, "file string, message string")
+
+
+def export_file(spark, sf_dir):
+    """The lines of the export file; those of its first part are the header. The reader takes the byte order mark off."""
+    path = scratch_path(spark, "export")
+    view = _points(spark, sf_dir).withColumn("poi", F.concat("poi", F.lit(',"'), "city"))
+    csvio.write_export(csvio.recognition_export(view), path)
+    return spark.read.text(path).select(
+        (F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int") == 0).alias("opening"), F.col("value").alias("line"))
+
+
+def boundary_bounds(spark, sf_dir):
+    """Extent of all rings of each group of five documents."""
+    rings = _polygons(spark, sf_dir).withColumn("boundary_id", F.col("polygon_id") % 5)
+    return P.boundary_bounds(rings, ["boundary_id"])
+
+
+def unlocated_rows(spark, sf_dir):
+    """Farms and points that no link can reach."""
+    return A.unlocated(spark_view(spark, sf_dir, "farms"), spark_view(spark, sf_dir, "points"), "other", "浙江").select("kind", "id")
+
+
 def row_numbers(spark, sf_dir):
     """Consecutive numbers over a whole table and within groups."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -123,9 +173,9 @@ def row_numbers(spark, sf_dir):
 
 
 def read_order_numbers(spark, sf_dir):
-    rows = in_read_order(table(spark, sf_dir, "orders").select("o_orderkey"))
-    return rows.agg(F.count("*").alias("n"), F.min("row_no").alias("low"), F.max("row_no").alias("high"),
-                    F.countDistinct("row_no").alias("distinct_numbers"))
+    """Rows that are read in a known order keep it in their numbers."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return in_read_order(rows.orderBy(F.desc("o_totalprice"), "o_orderkey"))
 
 
 def search_farms(spark, sf_dir):
@@ -281,8 +331,12 @@ QUERIES = {
         incoming AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'tile ' || (l_orderkey + 1) || '.jpg' ELSE 'part ' || l_partkey || '.jpg' END
                 AS original_image, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE '' END AS lead, CAST(l_suppkey AS VARCHAR) AS city,
             CAST(l_quantity AS VARCHAR) AS longitude FROM lineitem),
-        last AS (SELECT original_image, max(struct_pack(c := city, q := longitude)) AS v FROM incoming GROUP BY original_image)
-        SELECT coalesce(p.energy_type, 'wind') AS energy_type, coalesce(p.original_image, l.original_image) AS original_image,
+        last AS (SELECT original_image, max(struct_pack(c := city, q := longitude)) AS v, min(lead || original_image || lead) AS raw
+            FROM incoming GROUP BY original_image)
+        SELECT coalesce(p.id, (SELECT max(id) FROM points) + row_number() OVER (PARTITION BY p.id IS NULL ORDER BY l.raw)) AS id,
+            coalesce(p.energy_type, 'wind') AS energy_type, coalesce(p.original_image, l.original_image) AS original_image,
+            CASE WHEN l.v IS NULL THEN p.latitude ELSE '25.5' END AS latitude, CASE WHEN l.v IS NULL THEN p.poi ELSE '' END AS poi,
+            CASE WHEN p.id IS NULL THEN '{NOW}' ELSE '{OLD}' END AS created_at,
             CASE WHEN l.v IS NULL THEN p.province_code ELSE 'YunNan' END AS province_code,
             CASE WHEN l.v IS NULL THEN p.province_name ELSE '云南省' END AS province_name,
             CASE WHEN l.v IS NULL THEN p.city ELSE l.v.c END AS city, CASE WHEN l.v IS NULL THEN p.longitude ELSE l.v.q END AS longitude,
@@ -300,18 +354,31 @@ QUERIES = {
     "delete_filtered": (delete_filtered, duck_ctes("farms") + """SELECT id, enterprise_name FROM farms
         WHERE NOT ((enterprise_name ILIKE '%云南%' OR province ILIKE '%云南%') AND (enterprise_name ILIKE '%#0%' OR province ILIKE '%#0%')
             AND confidence < 0.8)"""),
-    "delete_all": (delete_all, "SELECT count(*) AS rows_left FROM customer WHERE c_custkey IS NULL"),
+    "delete_all": (delete_all, "SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_left FROM customer"),
     "delete_unlinked": (delete_unlinked, duck_ctes("points", "images") + f"""SELECT id, original_image FROM points
         WHERE NOT ((province_name ILIKE '%zhe%' OR province_code ILIKE '%zhe%') AND {UNLINKED})"""),
-    "delete_manual": (delete_manual, duck_ctes("points", "manual") + """SELECT * FROM manual m WHERE NOT EXISTS (SELECT 1 FROM points p
-        WHERE p.id = m.recognition_id AND p.energy_type = m.energy_type AND (image_exists = 0 OR latitude = ''))"""),
+    "delete_manual": (delete_manual, duck_ctes("manual") + """SELECT recognition_id * 2 AS id, * FROM manual m WHERE NOT EXISTS (
+        SELECT 1 FROM orders o WHERE o_orderpriority <> '5-LOW' AND o_orderkey + 1 = m.recognition_id
+            AND o_custkey + 1 + (o_orderkey + 1) % 2 = m.farm_id
+            AND CASE WHEN o_orderstatus = 'O' THEN 'wind' ELSE 'solar' END = m.energy_type)"""),
     "validate_rows": (validate_rows, duck_ctes("points") + """SELECT id, CASE WHEN longitude = '' THEN 'longitude' ELSE 'city' END
         AS missing_field FROM points WHERE longitude = '' OR image_exists <> 1"""),
     "row_numbers": (row_numbers, """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row_no,
         row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders"""),
-    "read_order_numbers": (read_order_numbers,
-                           "SELECT count(*) AS n, 1 AS low, count(*) AS high, count(*) AS distinct_numbers FROM orders"),
+    "read_order_numbers": (read_order_numbers, """SELECT o_orderkey, o_totalprice,
+        row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row_no FROM orders"""),
+    "import_header_check": (import_header_check, duck_ctes("points") + """SELECT 'in place' AS file,
+            '第 ' || min(id) || ' 行缺少必填字段: longitude' AS message FROM points WHERE longitude = ''
+        UNION ALL SELECT 'ahead', '导入文件格式不正确，缺少识别数据必要字段'"""),
+    "export_file": (export_file, duck_ctes("points") + """SELECT false AS opening, original_image || ',' || province_name || ',' || city || ','
+        || longitude || ',' || latitude || ',"' || poi || ',""' || city || '"' AS line FROM points
+        UNION ALL SELECT true, '原始图片,省,市,经度,纬度,POI'"""),
+    "boundary_bounds": (boundary_bounds, duck_ctes(ring=RING_DUCK) + """SELECT polygon_id % 5 AS boundary_id, min(lng) AS min_lng,
+        min(lat) AS min_lat, max(lng) AS max_lng, max(lat) AS max_lat FROM ring GROUP BY 1"""),
+    "unlocated_rows": (unlocated_rows, duck_ctes("farms", "points") + """SELECT 'farm' AS kind, id FROM farms
+            WHERE power_type IN ('太阳能发电', '分布式光伏') AND province = '浙江省' AND longitude = ''
+        UNION ALL SELECT 'point', id FROM points WHERE energy_type = 'solar' AND province_name = '浙江省' AND longitude = ''"""),
     "search_farms": (search_farms, duck_ctes("farms") + """SELECT id, enterprise_name, confidence FROM farms
         WHERE (enterprise_name ILIKE '%CUSTOMER%' OR province ILIKE '%CUSTOMER%') AND (enterprise_name ILIKE '%云_%'
             OR province ILIKE '%云_%') AND power_type ILIKE '%发电%' AND confidence >= 0.8 AND confidence < 0.9"""),

@@ -11,7 +11,7 @@ from wattlink.functions.text import normalize_poi, url_component, utf16_length
 from wattlink.operators import nearest
 from wattlink.operators.containment import containing_pairs
 from wattlink.operators.ranking import computed_once, first_per_key, numbered, top_per_key
-from wattlink.session import durable, spread
+from wattlink.session import durable, spread, stored
 from wattlink.operators.views import energy_match, province_match
 
 LINK_COLUMNS = ["farm_id", "recognition_id", "distance_km", "association_source"]
@@ -29,16 +29,42 @@ def usable_farms(farms: DataFrame, energy_type: str, province: str | None = None
 
 def usable_points(points: DataFrame, energy_type: str, province: str | None = None,
                   blank_as_zero: bool = False) -> DataFrame:
-    rows = points.where(F.col("energy_type") == energy_type) if "energy_type" in points.columns else points
+    return _located(_chosen_points(points, energy_type, province), blank_as_zero)
+
+
+def _chosen_points(points: DataFrame, energy_type: str, province: str | None) -> DataFrame:
+    # any energy type but wind reads the solar points
+    rows = points
+    if "energy_type" in points.columns:
+        rows = points.where(F.col("energy_type") == ("wind" if energy_type == "wind" else "solar"))
     if province:
         rows = rows.where(province_match("province_name", province) | province_match("province_code", province))
-    return _located(rows, blank_as_zero)
+    return rows
 
 
-def _located(rows: DataFrame, blank_as_zero: bool) -> DataFrame:
+def _placed(rows: DataFrame, blank_as_zero: bool) -> DataFrame:
     lng, lat = (finite_number(c, blank_as_zero) for c in ("longitude", "latitude"))
-    placed = computed_once(rows, lng=lng, lat=lat)
-    return placed.where("lng IS NOT NULL AND lat IS NOT NULL")
+    return computed_once(rows, lng=lng, lat=lat)
+
+
+def _located(rows: DataFrame, blank_as_zero: bool) -> DataFrame:
+    return _placed(rows, blank_as_zero).where("lng IS NOT NULL AND lat IS NOT NULL")
+
+
+def unlocated(farms: DataFrame, points: DataFrame, energy_type: str, province: str | None = None,
+              blank_as_zero: bool = False) -> DataFrame:
+    """kind (farm or point), id, longitude, latitude of the chosen rows that no link can reach, since
+    their coordinates are no finite numbers."""
+    chosen = farms.where(energy_match(energy_type))
+    if province:
+        chosen = chosen.where(province_match("province", province))
+    parts = [("farm", chosen), ("point", _chosen_points(points, energy_type, province))]
+    lost = [
+        _placed(rows.select(F.lit(kind).alias("kind"), "id", "longitude", "latitude"), blank_as_zero)
+        .where("lng IS NULL OR lat IS NULL").drop("lng", "lat")
+        for kind, rows in parts
+    ]
+    return lost[0].unionByName(lost[1])
 
 
 def _sites(farms: DataFrame, *extra) -> DataFrame:
@@ -112,6 +138,8 @@ def associate(farms: DataFrame, points: DataFrame, manual: DataFrame | None, ene
     auto = poi_links(farms, points) if mode == "poi" else radius_links(farms, points, radius_km, strategy)
     if manual is None:
         return auto
+    # read twice: by the union and to leave out manual links that are automatic ones already
+    auto = stored(auto, "auto-links")
     return auto.unionByName(manual_links(manual, farms, points, auto, energy_type))
 
 
@@ -146,17 +174,11 @@ def farm_counts(farms: DataFrame, links: DataFrame) -> DataFrame:
 
 def association_summary(farms: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
     """One row: farms, linked farms, points, linked points, points without a link."""
-    def tagged(df, kind):
-        return df.select(F.lit(kind).alias("kind"))
-
-    linked_ids = links.select("recognition_id").distinct()
-    parts = [
-        tagged(farms, "farm"), tagged(links.select("farm_id").distinct(), "linked_farm"), tagged(points, "point"),
-        tagged(linked_ids, "linked"),
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    # one pass over the links gives both ends of each
+    ends = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in (("linked_farm", "farm_id"), ("linked", "recognition_id"))]
+    rows = links.select(F.inline(F.array(*ends))).distinct().select("kind")
+    for kind, df in (("farm", farms), ("point", points)):
+        rows = rows.unionByName(df.select(F.lit(kind).alias("kind")))
     count = lambda kind: F.count_if(F.col("kind") == kind)
     return rows.agg(
         count("farm").alias("farm_count"), count("linked_farm").alias("linked_farm_count"),
@@ -198,16 +220,18 @@ def preview_images(links: DataFrame, points: DataFrame, n: int = 8) -> DataFrame
     )
 
 
-def farm_link_lists(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def farm_link_lists(links: DataFrame, chunk: int = CHUNK, points: DataFrame | None = None) -> DataFrame:
     """Nested list of linked points per farm, in chunks: farm_id, chunk_no, links.
 
-    A farm with more links than `chunk` gets several rows, so no list grows with a hot farm.
+    A farm with more links than `chunk` gets several rows, so no list grows with a hot farm. With
+    `points`, an item holds all their columns as well.
     """
-    placed = numbered(links, link_order(), ["farm_id"], "position")
-    item = F.struct("position", "recognition_id", "distance_km", "association_source")
+    placed, detail = numbered(links, link_order(), ["farm_id"], "position"), []
+    if points is not None:
+        placed = linked_points(placed, points)
+        detail = [c for c in points.columns if c not in ("id", *LINK_COLUMNS, "position")]
+    item = F.struct("position", "recognition_id", "distance_km", "association_source", *detail)
     chunk_no = F.floor((F.col("position") - 1) / chunk).cast("int")
     return placed.withColumn("chunk_no", chunk_no).groupBy("farm_id", "chunk_no").agg(
         F.sort_array(F.collect_list(item)).alias("links")
     )
-
-

@@ -11,6 +11,9 @@ from wattlink.functions.text import JS_SPACE, strip, text
 from wattlink.operators.ranking import first_per_key, numbered
 
 
+MISSING_FIELDS = "导入文件格式不正确，缺少识别数据必要字段"
+
+
 class ImportRejected(ValueError):
     """The import file as a whole was refused."""
 
@@ -39,7 +42,7 @@ def check_headers(rows: DataFrame, kind: str) -> None:
         if missing:
             raise ImportRejected(f"导入文件格式不正确，缺少字段: {'、'.join(missing)}")
     elif any(alias_of(rows.columns, kind.split("-")[0], f) is None for f in K.RECOGNITION_REQUIRED):
-        raise ImportRejected("导入文件格式不正确，缺少识别数据必要字段")
+        raise ImportRejected(MISSING_FIELDS)
 
 
 def with_first_problem(rows: DataFrame, kind: str) -> DataFrame:
@@ -56,12 +59,15 @@ def with_first_problem(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def validate_import(rows: DataFrame, kind: str, row_no: str = "row_no") -> DataFrame:
-    """All or nothing: the rows, or `ImportRejected` naming the first bad row and field."""
+    """All or nothing: the rows, or `ImportRejected` naming the first bad row and field. A recognition
+    file whose first row leaves a required field empty is refused for its format."""
     check_headers(rows, kind)
-    bad = with_first_problem(rows, kind).where("missing_field IS NOT NULL")
-    first = bad.select(row_no, "missing_field").orderBy(row_no).first()
-    if first is not None:
-        raise ImportRejected(f"第 {first[0]} 行缺少必填字段: {first[1]}")
+    problem = F.when(F.col("missing_field").isNotNull(), F.struct(row_no, "missing_field"))
+    opening, bad = with_first_problem(rows, kind).agg(F.min(row_no), F.min(problem)).first()
+    if bad is not None and kind != "power-fields" and bad[0] == opening:
+        raise ImportRejected(MISSING_FIELDS)
+    if bad is not None:
+        raise ImportRejected(f"第 {bad[0]} 行缺少必填字段: {bad[1]}")
     return rows
 
 
@@ -96,25 +102,25 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], now: str, r
     last = first_per_key(incoming, keys, [F.col(row_no).desc()]).drop(row_no)
     opening = incoming.groupBy(*keys).agg(F.min(row_no).alias("_opening"))
     values = [c for c in current.columns if c not in (*keys, "id", "created_at", "updated_at")]
-    old = current.withColumn("_old", F.lit(True)).alias("o")
-    new = last.withColumn("_new", F.lit(True)).alias("n")
-    joined = old.join(new, keys, "full_outer")
-    isnew, isold = F.col("n._new").isNotNull(), F.col("o._old").isNotNull()
+    # known keys: a left join, which keeps every current row; new ones: an anti join on the keys alone
+    touched = F.col("n._new").isNotNull()
+    joined = current.alias("o").join(last.withColumn("_new", F.lit(True)).alias("n"), keys, "left")
 
     def value(c):
-        if refresh_only:
-            return F.when(isold, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}") if c in last.columns else F.lit(None))
-        return F.when(isnew, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in last.columns else F.col(f"o.{c}")
+        if refresh_only or c not in last.columns:
+            return F.col(f"o.{c}")
+        return F.when(touched, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
 
-    state = joined.select(
+    known = joined.select(
         F.col("o.id").alias("id"), *keys, *[value(c).alias(c) for c in values],
         F.coalesce("o.created_at", F.lit(now)).alias("created_at"),
-        F.when(isnew, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"),
-        isold.alias("_known"),
+        F.when(touched, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
     top = current.agg(F.max("id")).first()[0] or 0
-    known = state.where("_known").drop("_known")
-    fresh = state.where("NOT _known").drop("_known", "id").join(opening, keys)
+    fresh = last.join(current.select(*keys), keys, "left_anti").join(opening, keys).select(
+        "_opening", *keys, *[(F.col(c) if c in last.columns else F.lit(None).cast(current.schema[c].dataType)).alias(c) for c in values],
+        F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
+    )
     numbered_fresh = numbered(fresh, [F.col("_opening")], name="id", start=top + 1).drop("_opening")
     return known.unionByName(numbered_fresh).select(*current.columns)
 
@@ -144,7 +150,7 @@ def delete_where(df: DataFrame, condition: Column | None) -> DataFrame:
     """Rows left after deleting those that meet the condition; no condition deletes all. Rows for
     which the condition is unknown stay."""
     if condition is None:
-        return df.limit(0)
+        return df.where(F.lit(False))
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 

@@ -31,6 +31,12 @@ def outer_rings(geojson: DataFrame, text: str = "body", keep: list[str] | None =
     )
 
 
+def boundary_bounds(rings: DataFrame, keys: list[str]) -> DataFrame:
+    """Extent of all rings of a boundary together: keys, min_lng, min_lat, max_lng, max_lat."""
+    each = rings.select(*keys, ring_bounds().alias("b")).select(*keys, "b.*")
+    return each.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("min_lng", "min_lat")], *[F.max(c).alias(c) for c in ("max_lng", "max_lat")])
+
+
 def ring_bounds(ring: str | Column = "ring") -> Column:
     """(min lng, min lat, max lng, max lat) of an array of points."""
     axis = lambda f: F.transform(ring, lambda p: p[f])

@@ -57,8 +57,19 @@ def page_sizes(pages: DataFrame, source: dict) -> DataFrame:
     return pages.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
 
 
-def complete_pages(sized: DataFrame) -> DataFrame:
-    """The unbroken run of non-empty pages from page 1 on, per source.
+def sizes_of_sources(pages: DataFrame, sources: list[dict]) -> DataFrame:
+    """source, page, n_items of the pages of all `sources`, each list read at its source's own path."""
+    doc = document(F.col("body"))
+    paths: dict[str, list[str]] = {}
+    for source in sources:
+        paths.setdefault((source.get("list_api") or {}).get("list_path", ""), []).append(source["name"])
+    sizes = [F.when(F.col("source").isin(names), F.size(value_at(doc, path, "array<variant>"))) for path, names in paths.items()]
+    known = pages.where(F.col("source").isin([s["name"] for s in sources]))
+    return known.select("source", "page", F.coalesce(*sizes, F.lit(0)).alias("n_items"))
+
+
+def first_gaps(sized: DataFrame) -> DataFrame:
+    """source, first_gap: the page number at which the run of non-empty pages from 1 on ends.
 
     The first gap is the smallest successor of a good page that is not a good page itself. That
     is an anti-join on (source, page) and a partial minimum, so no source is walked in one task.
@@ -66,12 +77,12 @@ def complete_pages(sized: DataFrame) -> DataFrame:
     good = sized.where("n_items > 0").select("source", "page").distinct()
     starts = sized.select("source").distinct().withColumn("page", F.lit(1).cast("long"))
     successors = good.select("source", (F.col("page") + 1).alias("page")).union(starts)
-    gaps = (
-        successors.join(good, ["source", "page"], "left_anti")
-        .groupBy("source").agg(F.min("page").alias("first_gap"))
-    )
-    # one row per configured source: pages stay where they are, however many a source has
-    return sized.join(F.broadcast(gaps), "source").where("page < first_gap").drop("first_gap")
+    return successors.join(good, ["source", "page"], "left_anti").groupBy("source").agg(F.min("page").alias("first_gap"))
+
+
+def complete_pages(sized: DataFrame) -> DataFrame:
+    """The unbroken run of non-empty pages from page 1 on, per source."""
+    return sized.join(first_gaps(sized.select("source", "page", "n_items")), "source").where("page < first_gap").drop("first_gap")
 
 
 def item_ids(items: DataFrame, id_field: str, doc: str = "doc") -> DataFrame:

@@ -93,6 +93,14 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once as Parquet below the shared folder and continue from the copy, where later steps
+    prune columns, filter or need the size of what was written."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage once and continue from the written copy.
 

@@ -95,6 +95,17 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat(*cells).alias("line"))
 
 
+def write_export(df: DataFrame, path: str) -> None:
+    """The export file as parts that follow each other by name: a byte order mark and the header line,
+    then the rows, quoted only where needed."""
+    header = df.sparkSession.createDataFrame([(BOM + ",".join(_cell(c) for c in df.columns),)], "line string").coalesce(1)
+    header.unionByName(csv_lines(df)).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def _cell(value: str) -> str:
+    return '"' + value.replace('"', '""') + '"' if any(c in value for c in '",\n') else value
+
+
 def import_template(spark: SparkSession, kind: str) -> DataFrame:
     """Header and sample row of an import template."""
     if kind not in K.IMPORT_TEMPLATES:

@@ -44,7 +44,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     versions = _versions(spark, root, name)
     if not versions:
         return empty_table(spark, name)
-    return conform(spark.read.option("mergeSchema", True).parquet(versions[-1]), TABLES[name])
+    return conform(spark.read.schema(TABLES[name]).parquet(versions[-1]), TABLES[name])
 
 
 def write_table(df: DataFrame, root: str, name: str) -> str:
