@@ -197,6 +197,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group stays: that with the smallest doc_id, one row if that id is repeated.
     A row without a doc_id cannot be named as the first of a group and stays."""
     first = groups(written(fingerprints(docs), "prints")).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    order = [F.xxhash64("text").asc(), F.col("text").asc()]
-    return first_per_key(stay, ["doc_id"], order).unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))  # whatever its columns are called
+    stay = rows.join(first, "doc_id", "left_semi")
+    order = [F.xxhash64("row.text").asc(), F.col("row.text").asc()]
+    return first_per_key(stay, ["doc_id"], order).unionByName(rows.where("doc_id IS NULL")).select("row.*")
