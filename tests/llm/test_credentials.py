@@ -58,3 +58,17 @@ def test_redaction_keeps_everything_else(spark):
     assert got[2]["text"] is None and (got[3]["text"], got[3]["n_chars"]) == ("clean", 99)
     assert C.redacted(docs.limit(0)).count() == 0 and C.scan(docs.limit(0)).count() == 0
     assert C.redact("a token=" + "b" * 24 + " c", C.base_spans("a token=" + "b" * 24 + " c")) == "a token=[secret] c"
+
+
+def test_rare_kinds_are_labelled_in_every_row(spark):
+    rng = random.Random(9)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    strings = {secret() for _ in range(24)}
+    texts = [f"token = {s}" for s in strings] + ["plain text"] * 60_000 + [f"ordinary-page-number-{i}-of-the-day" for i in range(40)]
+    texts += ["key " + secret()[:12] + secret()[:11].upper() + " alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scanner = C.fitted(docs)
+    assert len(scanner.formats) == 2 and scanner.ordinary is not None  # assigned values, and hex runs
+    few = C.fitted(docs, C.Fit(strings=20))
+    want = sorted(strings, key=lambda s: C.xxhash.xxh64_intdigest(s.encode(), 42))[:20]
+    assert few.formats[0].visits == C.Automaton(want, 0.05).visits

@@ -1,6 +1,6 @@
 """Secret scans: base patterns, and spans found by automata inferred from labelled credentials.
 
-Labelled credentials are what the base patterns find in a bounded sample of the rows. From the
+Labelled credentials are what the base patterns find in all rows. From a bounded number of the
 strings of each kind a prefix tree is built, and its states are merged where their outgoing
 frequencies agree within Hoeffding bounds (state merging in the red-blue order), which leaves a
 probabilistic automaton of the format. A further automaton is inferred from ordinary long tokens of
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wattlink.operators.ranking import top_per_key
@@ -39,8 +40,7 @@ _ALPHABET = 66  # credential characters
 
 @dataclass(frozen=True)
 class Fit:
-    sample_rows: int = 20_000   # rows whose matches label the credentials
-    strings: int = 400          # of each kind, and of ordinary tokens
+    strings: int = 400          # fitted of each kind, and of ordinary tokens
     longest: int = 256          # longer ones are not fitted, but are scored
     min_strings: int = 20
     alpha: float = 0.05         # confidence of the Hoeffding bound
@@ -184,24 +184,32 @@ class Scanner:
         return max(f.score(token) for f in self.formats) - plain >= self.fit.min_ratio * len(token)
 
 
-def fitted(docs: DataFrame, fit: Fit = Fit()) -> Scanner:
-    """Infer the automata from a bounded sample of rows, chosen by a hash of their text."""
-    share = max(1, math.ceil(docs.count() / fit.sample_rows))
-    sample = docs.select("text").where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+def _few(strings: set[str], n: int) -> set[str]:
+    return set(sorted(strings, key=lambda s: (xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42), s))[:n])
+
 
+def fitted(docs: DataFrame, fit: Fit = Fit()) -> Scanner:
+    """Infer the automata from the labelled strings of all rows, a bounded number of each kind chosen by hash."""
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, set[str]] = {k: set() for k in range(4)}
         for b in batches:
-            kinds, strings = [], []
             for text in b.column(0).to_pylist():
                 found = base_spans(text)
-                for _, kind, end, secret in found:
-                    kinds.append(kind), strings.append(text[secret:end])
-                for a, e in candidates(text, found):
-                    kinds.append(3), strings.append(text[a:e])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(strings, pa.string())], ["kind", "string"])
-
-    labelled = sample.mapInArrow(label, "kind long, string string").where(F.length("string") <= fit.longest).distinct()
-    chosen = top_per_key(labelled, ["kind"], [F.xxhash64("string"), F.col("string")], fit.strings)
+                new = [(kind, text[secret:end]) for _, kind, end, secret in found]
+                new += [(3, text[a:e]) for a, e in candidates(text, found)]
+                for kind, string in new:
+                    if len(string) <= fit.longest:
+                        kept[kind].add(string)
+                        if len(kept[kind]) > 8 * fit.strings:  # bounds the task's memory and what it sends
+                            kept[kind] = _few(kept[kind], fit.strings)
+        for kind, strings in kept.items():
+            few = sorted(_few(strings, fit.strings))
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(few), pa.int64()), pa.array(few, pa.string())], ["kind", "string"])
+
+    labelled = docs.select("text").where("text IS NOT NULL").mapInArrow(label, "kind long, string string").distinct()
+    h = F.xxhash64("string")
+    unsigned = [(h < 0).asc(), h.asc(), F.col("string").asc()]  # the order of `_few`
+    chosen = top_per_key(labelled, ["kind"], unsigned, fit.strings)
     strings: dict[int, list[str]] = {}
     for row in chosen.collect():
         strings.setdefault(row["kind"], []).append(row["string"])
