@@ -45,3 +45,11 @@ def test_und_and_nothing_learned(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in L.identified(docs, one, F.lit(True)).collect()}
     assert got == {1: "und", 2: "und", 3: "und", 4: "en", None: "en"}
     assert L.identified(docs.limit(0), one, F.lit(True)).count() == 0
+
+
+def test_query_learns_languages_of_few_texts(spark, tmp_path):
+    rows = [(i, "the cat and the dog sat by the door", "en") for i in range(40)]
+    rows += [(i, "der hund und die katze sitzen vor der tuer", "de") for i in (50, 51, 52, 53)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["lang_pred"] for r in op3_output_codes(spark, str(tmp_path)).collect()}
+    assert {got[i] for i in (50, 51, 52, 53)} == {"de"} and got[0] == "en"
