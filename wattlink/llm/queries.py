@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattlink.llm import (
-    context_mixing, credentials, decontaminate, divergence, language_id, lattice, simhash, token_counts, url_filter, warc,
+    byte_pairs, context_mixing, credentials, decontaminate, divergence, hard_negatives, language_id, lattice, periodic, simhash,
+    token_counts, url_filter, warc,
 )
-from wattlink.llm.common import held_out, table
+from wattlink.llm.common import held_out, table, words
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +196,78 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(table(spark, sf_dir, "documents"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in one of ten documents, by the hash h of its id, the words from number a on repeat the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " "))
+
+    planted = F.transform(F.array(words(F.col("text"))), tail)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(planted, F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.scanned(with_periodic_tails(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer file is `Bpe.load`'s parameter."""
+    bpe = byte_pairs.Bpe.load()
+    coded = byte_pairs.decoded(byte_pairs.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe).drop("text"), bpe)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def whole_vectors(rows: DataFrame) -> DataFrame:
+    """id, label, v of the rows whose vector is finite: labels of ids divisible by 7 move on by one, components become
+    floor(256 x)."""
+    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label"))
+    return rows.where(F.col("embedding").isNotNull() & finite).select(
+        F.col("vec_id").alias("id"), moved.cast("long").alias("label"),
+        F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(whole_vectors(table(spark, sf_dir, "embeddings")), F.pmod("id", F.lit(100)) == 0)
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_blocked_bloom": (op2_blocked_bloom, OP2_SQL),
@@ -206,6 +279,9 @@ QUERIES = {
     "op8_lattice": (op8_lattice, None),
     "op9_context_mixing": (op9_context_mixing, None),
     "op10_credentials": (op10_credentials, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_byte_pairs": (op12_byte_pairs, None),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
 
 
