@@ -2,7 +2,7 @@
 
 import duckdb
 from test_decontaminate import brute
-from test_simhash import brute_components, by_hand
+from test_near_copies import brute as brute_groups
 
 import corpus_pipeline
 from wattlink.llm import credentials, lattice
@@ -17,8 +17,8 @@ def test_rows_and_texts(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     good = {r[0] for r in con.execute(f"SELECT doc_id FROM ({OP6_SQL}) WHERE kept").fetchall()}
     docs = [(i, t) for i, t in con.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall() if i in good]
-    names = brute_components([i for i, _ in docs], [by_hand(t) for _, t in docs])
-    docs = [d for d, name in zip(docs, names) if d[0] == name]
+    groups, _ = brute_groups(docs)
+    docs = sorted(min(g) for g in groups)
     dirty = {m[0] for m in brute(docs, con.execute("SELECT item_id, text FROM benchmark").fetchall())}
     want = {i: t for i, t in docs if i not in dirty}
 
