@@ -114,6 +114,20 @@ def test_containing_pairs(spark, limit, monkeypatch):
     assert sorted(rows) == sorted((a, b) for a in needles for b in hays if a in b)
 
 
+def test_long_texts_make_few_rows(spark, monkeypatch):
+    """Rows made for a text are at most its characters a q-gram size, and a text meets a needle by its rarest q-gram only."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    needles = [text[i:i + n] for i in range(0, 4000, 40) for n in (8, 30, 200)] + ["zzz" + text[:5]]
+    n, h = spark.createDataFrame([(w,) for w in needles], "n string"), spark.createDataFrame([(text,), (text[:50],)], "h string")
+    assert containment.containing_pairs(n, h, "n", "h").count() == sum(w in t for w in needles for t in (text, text[:50]))
+    listed = n.select("n", F.explode(containment._grams(F.col("n"), F.lit(3))).alias("gram"))
+    held = h.select("h", F.explode(containment._grams(F.col("h"), F.lit(3))).alias("gram"))
+    assert held.count() <= 5050
+    rare = containment.rarest_grams(listed, held, "n").collect()
+    assert len(rare) == len({*needles}) - 1 and all(r["texts"] <= 2 for r in rare)
+
+
 @pytest.mark.parametrize("direct", [256, 4])
 def test_poi_links(spark, direct, monkeypatch):
     """Hot addresses and hot place names, both ways of containment, against brute force."""

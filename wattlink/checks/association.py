@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattlink.checks.fixtures import duck_ctes, spark_view
-from wattlink.operators import association as A, hull
+from wattlink.checks.fixtures import duck_ctes, spark_view, table
+from wattlink.operators import association as A, containment, hull
 
 RADIUS = 10.0
 
@@ -95,6 +95,17 @@ def farm_hull(spark, sf_dir):
     return hull.hull_vertices(hull.farm_hulls(farms, links, points))
 
 
+def names_in_documents(spark, sf_dir):
+    """Which documents name which places: the first two words of every benchmark text, inside whole texts."""
+    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", PLACE, 0).alias("place")).where("place <> ''").distinct()
+    texts = table(spark, sf_dir, "documents").select("text").where("text IS NOT NULL").distinct()
+    found = containment.containing_pairs(names, texts, "place", "text")
+    return found.groupBy("place").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("characters"))
+
+
+PLACE = "^[^ ]+ [^ ]+"
+
+
 def _usable(energy, province=None):
     types = "('风电')" if energy == "wind" else "('太阳能发电', '分布式光伏')"
     f = f"""SELECT id, enterprise_name, raw_address, TRY_CAST(longitude AS DOUBLE) AS lng, TRY_CAST(latitude AS DOUBLE) AS lat
@@ -194,6 +205,10 @@ HULL_EXTRA = {
 }
 
 QUERIES = {
+    "names_in_documents": (names_in_documents, f"""WITH places AS (SELECT DISTINCT regexp_extract(text, '{PLACE}') AS place FROM benchmark),
+        texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)
+        SELECT place, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS characters
+        FROM places JOIN texts ON contains(text, place) WHERE place <> '' GROUP BY place"""),
     "assoc_radius_links": (radius_links, _sql("SELECT * FROM links", manual=False)),
     "assoc_radius_links_shuffled": (radius_links_shuffled, _sql("SELECT * FROM links", manual=False)),
     "assoc_radius_links_province": (
