@@ -117,3 +117,31 @@ def test_hulls_run_from_an_empty_folder(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    """Files of earlier batches stay; a replayed batch gives the same sink; keys are looked up in the batch's own folders."""
+    sink = str(tmp_path / "out")
+    cache = G.merge_responses(G.cache_frame(spark), answer(spark.createDataFrame([(f"address {i}",) for i in range(6)], "query string"), True))
+    enrich = lambda batch: G.geocode_resolve(batch, cache)
+    table = rows(spark, 8)  # the last two stay pending
+
+    def land(batch, batch_id):
+        ingest._land_answered(spark, batch, ingest.waiting_rows(spark, sink, batch_id), sink, batch_id, enrich)
+
+    def state():
+        files = {str(f) for f in tmp_path.rglob("*.parquet")}
+        found = sorted(r["企业名称"] for r in spark.read.parquet(sink).collect())
+        return files, found, sorted(r["企业名称"] for r in ingest.waiting_rows(spark, sink).collect())
+
+    land(table.where("`企业名称` < '公司4' OR `企业名称` = '公司7'"), 0)
+    first, found, waiting = state()
+    assert found == [f"公司{i}" for i in range(4)] and waiting == ["公司7"]
+    land(table, 1)  # four of them again
+    second, found, waiting = state()
+    assert first < second and found == [f"公司{i}" for i in range(6)] and waiting == ["公司6", "公司7"]
+    assert len(second - first) == 2 + 1  # two answers, one new pending row
+    land(table, 1)
+    assert state()[1:] == (found, waiting)
+    plan = ingest._batches_before(spark, sink, 2, G.ROW_KEY, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "part" in plan.split("PartitionFilters", 1)[1].split("]")[0]

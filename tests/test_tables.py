@@ -12,7 +12,7 @@ from wattlink.plans import jobs
 from wattlink.sources import csvio, images, landed, tables
 from wattlink.streaming import ingest
 
-NOW, LATER = "2026-01-01 00:00:00", "2026-02-02 00:00:00"
+OLD, NOW, LATER = "2025-01-01 00:00:00", "2026-01-01 00:00:00", "2026-02-02 00:00:00"
 
 
 def write(path, text, bom=True):
@@ -189,3 +189,34 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
         ingest._write_batch(df, str(tmp_path / "sink"), 0)
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 1
     assert ingest._batches_before(spark, str(tmp_path / "sink"), 0, ["x"]).count() == 0
+
+
+def test_first_gaps(spark):
+    full, cut = range(1, 2 * R.BUCKET + 8), [n for n in range(1, R.BUCKET + 50) if n != R.BUCKET]
+    pages = {"full": full, "cut": cut, "late": [2, 3], "none": [], "long": [*range(1, 3 * R.BUCKET + 1)], "second": range(R.BUCKET + 1, 2 * R.BUCKET),
+             "few": [1, 2, 2, 3, 5], "first": [1], "odd": [0, -1, 1, 2, 4]}
+    rows = [(s, n, 3) for s, ns in pages.items() for n in ns] + [("none", 1, 0), ("few", 4, 0), ("none", None, 5), ("odd", 3, None)]
+    got = {r["source"]: r["first_gap"] for r in R.first_gaps(spark.createDataFrame(rows, "source string, page long, n_items int")).collect()}
+    want = {s: min(set(range(1, 1 << 18)) - set(ns)) for s, ns in pages.items()}
+    assert got == want
+
+
+def test_import_of_one_key_leaves_other_folders_alone(spark, tmp_path):
+    root = str(tmp_path)
+    state = tables.conform(spark.range(1, 201).select("id", F.concat(F.lit("站"), "id").alias("enterprise_name"), F.lit(OLD).alias("created_at")),
+                           schemas.POWER_FIELDS)
+    tables.write_by_key(state, root, "power_fields", folders=8)
+    files = lambda: {str(f) for f in (tmp_path / "power_fields-by-key").rglob("*.parquet")}
+    before = files()
+    for _ in range(2):  # a repeated import changes nothing more
+        rows = spark.createDataFrame([(1, "站7", "5"), (2, "站7", "6")], "row_no long, enterprise_name string, capacity string")
+        touched = tables.upsert_by_key(spark, root, "power_fields", rows, NOW, folders=8)
+        assert len(touched) == 1
+        gone = {f.split("folder=")[1][0] for f in before - files()}
+        assert gone == {str(touched[0])}
+        got = {r["enterprise_name"]: r for r in tables.read_by_key(spark, root, "power_fields").collect()}
+        assert len(got) == 200 and (got["站7"]["id"], got["站7"]["capacity"], got["站7"]["created_at"], got["站7"]["updated_at"]) == (7, "6", OLD, NOW)
+    tables.upsert_by_key(spark, root, "power_fields", rows.withColumn("enterprise_name", F.concat(F.lit("新"), "row_no")), NOW, folders=8)
+    got = {r["enterprise_name"]: r["id"] for r in tables.read_by_key(spark, root, "power_fields").collect()}
+    assert len(got) == 202 and (got["新1"], got["新2"]) == (201, 202)
+    assert tables.upsert_by_key(spark, root, "power_fields", rows.limit(0), NOW, folders=8) == []

@@ -17,14 +17,9 @@ def stream_ingest(spark, sf_dir):
     """Pages land as files, are extracted as a stream, and the sink is deduplicated."""
     landing, sink, state = (scratch_path(spark, n) for n in ("pages", "registry", "state"))
     registry.pages(spark, sf_dir).repartition(8).write.json(landing)
-    out = None
-    for name in ("S0", "S1", "S2"):
-        source = registry.SOURCE | {"name": name}
-        query = ingest.ingest_pages(spark, landing, f"{sink}-{name}", f"{state}-{name}", source, now=registry.NOW, max_files=3)
-        query.awaitTermination()
-        rows = ingest.read_registry(spark, f"{sink}-{name}")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    sources = [registry.SOURCE | {"name": name} for name in ("S0", "S1", "S2")]
+    ingest.ingest_pages(spark, landing, sink, state, sources, now=registry.NOW, max_files=3).awaitTermination()
+    return ingest.read_registry(spark, sink)
 
 
 def stream_resume(spark, sf_dir):
@@ -38,8 +33,7 @@ def stream_resume(spark, sf_dir):
         spark, landing, sink, state, lambda batch: G.geocode_resolve(batch, cache), max_files=2)
     query.awaitTermination()
     answered = spark.read.parquet(sink).select(*G.ROW_KEY, "查询地址", "地理编码状态", "经度")
-    waiting = spark.read.parquet(f"{sink}-pending")
-    waiting = waiting.where(F.col("batch_id") == waiting.agg(F.max("batch_id")).first()[0])
+    waiting = ingest.waiting_rows(spark, sink)
     return answered.unionByName(waiting.select(
         *G.ROW_KEY, F.lit(None).alias("查询地址"), F.lit(G.PENDING).alias("地理编码状态"), F.lit(None).alias("经度")))
 

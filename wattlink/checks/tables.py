@@ -64,6 +64,15 @@ def snapshot_import(spark, sf_dir):
     return T.read_table(spark, root, "power_fields").select(*FARM_STATE)
 
 
+def upsert_by_key(spark, sf_dir):
+    """The same import into a table kept by key: only folders of the file's keys are rewritten."""
+    root = scratch_path(spark, "tables")
+    T.write_by_key(_farms(spark, sf_dir), root, "power_fields")
+    rows = I.farm_rows(I.validate_import(_import_file(spark, sf_dir), "power-fields"))
+    T.upsert_by_key(spark, root, "power_fields", rows, NOW)
+    return T.read_by_key(spark, root, "power_fields").select(*FARM_STATE)
+
+
 def upsert_points(spark, sf_dir):
     points = _points(spark, sf_dir)
     rows = spark_view(spark, sf_dir, """SELECT l_orderkey * 10 + l_linenumber AS row_no,
@@ -326,6 +335,7 @@ URL = "'/api/recognition/image?type=' || energy_type || '&name=' || replace(orig
 
 QUERIES = {
     "upsert_farms": (upsert_farms, FARM_SQL),
+    "upsert_by_key": (upsert_by_key, FARM_SQL),
     "snapshot_import": (snapshot_import, FARM_SQL.replace("f.capacity ELSE", "NULL ELSE")),
     "upsert_points": (upsert_points, duck_ctes("points", "images") + f""",
         incoming AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'tile ' || (l_orderkey + 1) || '.jpg' ELSE 'part ' || l_partkey || '.jpg' END

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattlink import constants as K
 from wattlink.functions.measure import finite_number, province_of_code
 from wattlink.functions.text import JS_SPACE, strip, text
-from wattlink.operators.ranking import first_per_key, numbered
+from wattlink.operators.ranking import numbered
+from wattlink.session import stored
 
 
 MISSING_FIELDS = "导入文件格式不正确，缺少识别数据必要字段"
@@ -92,15 +93,19 @@ def recognition_rows(rows: DataFrame, energy_type: str, inventory: DataFrame, ro
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], now: str, row_no: str = "row_no",
-           refresh_only: bool = False) -> DataFrame:
-    """New state of `current` after the incoming rows in file order.
+           refresh_only: bool = False, top: int | None = None) -> DataFrame:
+    """New state of `current` after the incoming rows in file order. `top` is the greatest id in use, where
+    `current` is a part of a table.
 
     The last row of a key wins. Known keys keep id and created_at and take every other incoming
     column; new keys get the next ids in the order of their first row. With `refresh_only`
     existing rows change nothing but updated_at.
     """
-    last = first_per_key(incoming, keys, [F.col(row_no).desc()]).drop(row_no)
-    opening = incoming.groupBy(*keys).agg(F.min(row_no).alias("_opening"))
+    fields = [c for c in incoming.columns if c not in (*keys, row_no)]
+    newest = F.max_by(F.struct(*fields), F.col(row_no)).alias("_row") if fields else F.lit(None).alias("_row")
+    # both branches below read it
+    last = stored(incoming.groupBy(*keys).agg(newest, F.min(row_no).alias("_opening")).select(
+        *keys, *[F.col(f"_row.{c}") for c in fields], "_opening"), "incoming")
     values = [c for c in current.columns if c not in (*keys, "id", "created_at", "updated_at")]
     # known keys: a left join, which keeps every current row; new ones: an anti join on the keys alone
     touched = F.col("n._new").isNotNull()
@@ -116,8 +121,9 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], now: str, r
         F.coalesce("o.created_at", F.lit(now)).alias("created_at"),
         F.when(touched, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
-    top = current.agg(F.max("id")).first()[0] or 0
-    fresh = last.join(current.select(*keys), keys, "left_anti").join(opening, keys).select(
+    if top is None:
+        top = current.agg(F.max("id")).first()[0] or 0
+    fresh = last.join(current.select(*keys), keys, "left_anti").select(
         "_opening", *keys, *[(F.col(c) if c in last.columns else F.lit(None).cast(current.schema[c].dataType)).alias(c) for c in values],
         F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )

@@ -68,21 +68,35 @@ def sizes_of_sources(pages: DataFrame, sources: list[dict]) -> DataFrame:
     return known.select("source", "page", F.coalesce(*sizes, F.lit(0)).alias("n_items"))
 
 
+BUCKET = 1 << 15  # pages of one bitmap
+
+
 def first_gaps(sized: DataFrame) -> DataFrame:
     """source, first_gap: the page number at which the run of non-empty pages from 1 on ends.
 
-    The first gap is the smallest successor of a good page that is not a good page itself. That
-    is an anti-join on (source, page) and a partial minimum, so no source is walked in one task.
+    Good pages are kept as bitmaps of a bucket of pages each, which merge ahead of the shuffle and count a repeated
+    page once. Walking the buckets of a source, a 32,768th of its pages, gives the first one that is missing
+    or not full, and the lowest clear bit there the gap. One scan, no join and no sort of pages.
     """
-    good = sized.where("n_items > 0").select("source", "page").distinct()
-    starts = sized.select("source").distinct().withColumn("page", F.lit(1).cast("long"))
-    successors = good.select("source", (F.col("page") + 1).alias("page")).union(starts)
-    return successors.join(good, ["source", "page"], "left_anti").groupBy("source").agg(F.min("page").alias("first_gap"))
+    good = (F.col("n_items") > 0) & (F.col("page") >= 1)
+    page = F.when(good, F.col("page"))
+    bitmaps = sized.groupBy("source", F.bitmap_bucket_number(page).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(page)).alias("bits"))
+    octets = F.length(F.regexp_extract(F.hex("bits"), "^(?:FF)*", 0)) / 2  # full ones ahead of the clear bit
+    octet = F.conv(F.substring(F.hex("bits"), (2 * octets + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+    clear = F.bit_count(octet.bitwiseAND(F.bitwise_not(octet + 1)))  # ones below the lowest clear bit
+    run = F.when(F.bitmap_count("bits") == BUCKET, F.lit(BUCKET)).otherwise(octets * 8 + clear).cast("long")
+    walked = bitmaps.select("source", F.when(F.col("bucket").isNotNull(), F.struct("bucket", run.alias("run"))).alias("b"))
+    # as long as every bucket so far is there and full, the gap is ahead of the next one
+    step = lambda end, b: F.when(end == (b["bucket"] - 1) * BUCKET, end + b["run"]).otherwise(end)
+    return walked.groupBy("source").agg(F.sort_array(F.collect_list("b")).alias("buckets")).select(
+        "source", (F.aggregate("buckets", F.lit(0).cast("long"), step) + 1).alias("first_gap"))
 
 
 def complete_pages(sized: DataFrame) -> DataFrame:
     """The unbroken run of non-empty pages from page 1 on, per source."""
-    return sized.join(first_gaps(sized.select("source", "page", "n_items")), "source").where("page < first_gap").drop("first_gap")
+    gaps = first_gaps(sized.select("source", "page", "n_items"))
+    return sized.join(gaps, "source").where("page < first_gap").drop("first_gap")
 
 
 def item_ids(items: DataFrame, id_field: str, doc: str = "doc") -> DataFrame:

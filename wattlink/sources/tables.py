@@ -1,4 +1,4 @@
-"""Stored tables: Parquet snapshots that are replaced as a whole."""
+"""Stored tables: Parquet snapshots that are replaced as a whole, and tables by key whose touched folders are."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wattlink import schemas
+from wattlink.operators.imports import upsert
+from wattlink.session import stored
 from wattlink.sources.csvio import path_exists
 
 TABLES = {
@@ -58,10 +60,65 @@ def write_table(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
+# --- tables kept by key ------------------------------------------------------------------------
+#
+# Rows lie in folders by the hash of their key. An import rewrites the folders that hold keys of the file and
+# leaves the files of all others as they are. Each folder is replaced as Spark commits the job; an import that
+# was cut off there is run again, which gives the same rows.
+
+KEYS = {
+    "power_fields": ["enterprise_name"],
+    "recognition": ["energy_type", "original_image"],
+    "manual_associations": ["energy_type", "farm_id", "recognition_id"],
+}
+FOLDERS = 64
+
+
+def key_folder(keys: list[str], folders: int = FOLDERS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int")
+
+
+def _put_by_key(df: DataFrame, root: str, name: str, folders: int) -> None:
+    placed = conform(df, TABLES[name]).withColumn("folder", key_folder(KEYS[name], folders))
+    # one file a folder: the shuffle that an import needs anyway deals by folder
+    placed.repartition(folders, "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "folder").parquet(f"{root}/{name}-by-key")
+
+
+def write_by_key(df: DataFrame, root: str, name: str, folders: int = FOLDERS) -> None:
+    """Start a table that is kept by key."""
+    _put_by_key(df, root, name, folders)
+
+
+def read_by_key(spark: SparkSession, root: str, name: str) -> DataFrame:
+    path = f"{root}/{name}-by-key"
+    if not path_exists(spark, f"{path}/folder=*"):
+        return empty_table(spark, name).withColumn("folder", F.lit(0))
+    schema = T.StructType([*TABLES[name].fields, T.StructField("folder", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_by_key(spark: SparkSession, root: str, name: str, incoming: DataFrame, now: str, row_no: str = "row_no",
+                  refresh_only: bool = False, folders: int = FOLDERS) -> list[int]:
+    """Merge incoming rows into the folders of their keys; the folders that were rewritten. Of all other folders only the
+    ids are read, for the greatest one."""
+    keys = KEYS[name]
+    whole = read_by_key(spark, root, name)
+    touched = sorted(r[0] for r in incoming.select(key_folder(keys, folders)).distinct().collect())  # at most `folders`
+    mine = whole.where(F.col("folder").isin(touched)).drop("folder")
+    top = whole.agg(F.max("id")).first()[0] or 0
+    # written aside first: the folders that it reads are replaced
+    state = stored(upsert(mine, incoming, keys, now, row_no, refresh_only, top), "upserted")
+    if touched:
+        _put_by_key(state, root, name, folders)
+    return touched
+
+
 def load_sources(path: str) -> dict:
     """A source configuration file: sources with their APIs and extraction mappings."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
-__all__ = ["conform", "empty_table", "load_sources", "path_exists", "read_table", "write_table"]
+__all__ = ["conform", "empty_table", "load_sources", "path_exists", "read_by_key", "read_table", "upsert_by_key", "write_by_key",
+           "write_table"]
