@@ -220,3 +220,13 @@ def test_import_of_one_key_leaves_other_folders_alone(spark, tmp_path):
     got = {r["enterprise_name"]: r["id"] for r in tables.read_by_key(spark, root, "power_fields").collect()}
     assert len(got) == 202 and (got["新1"], got["新2"]) == (201, 202)
     assert tables.upsert_by_key(spark, root, "power_fields", rows.limit(0), NOW, folders=8) == []
+
+
+def test_cache_object_is_one_json_object(spark, tmp_path):
+    cache = spark.createDataFrame([(f"q{i}\n", "success", str(i)) for i in range(30)] + [(None, "failed", None)], "query string, status string, lon string")
+    landed.write_cache_object(cache.repartition(4), str(tmp_path / "all"))
+    text = "".join(f.read_text(encoding="utf-8") for f in sorted((tmp_path / "all").glob("part-*")))
+    assert {k: v["lon"] for k, v in json.loads(text).items()} == {f"q{i}\n": str(i) for i in range(30)}
+    assert sorted(r["query"] for r in landed.read_cache_object(spark, str(tmp_path / "all")).collect()) == sorted(json.loads(text))
+    landed.write_cache_object(cache.limit(0), str(tmp_path / "none"))
+    assert landed.read_cache_object(spark, str(tmp_path / "none")).count() == 0

@@ -8,6 +8,7 @@ from wattlink import constants as K, schemas
 from wattlink.checks.addresses import structured, structured_ctes
 from wattlink.checks.fixtures import duck_ctes, spark_view
 from wattlink.operators import geocode as G, reverse, views
+from wattlink.operators.ranking import in_read_order
 from wattlink.session import durable, scratch_path
 from wattlink.sources import csvio, landed
 
@@ -142,6 +143,19 @@ def cache_roundtrip(spark, sf_dir):
     return landed.read_cache(spark, path, lines=True).select(*schemas.CACHE_FIELDS[:6])
 
 
+def cache_object(spark, sf_dir):
+    """The cache as one JSON object in parts, read back."""
+    path = scratch_path(spark, "cache-object")
+    landed.write_cache_object(_cache(spark, sf_dir), path)
+    return landed.read_cache_object(spark, path).select(*schemas.CACHE_FIELDS[:6])
+
+
+def power_types_in_order(spark, sf_dir):
+    """Power types of the cache with their place in pinyin order."""
+    listed = views.in_locale_order(views.power_type_counts(_cache(spark, sf_dir)))
+    return in_read_order(listed, "place").select("power_type", "entries", "place")
+
+
 # --- the same rules in SQL ---------------------------------------------------------------------
 
 _PARTS = ["省", "市州", "区县", "乡镇街道", "村社区", "组社", "门牌号"]
@@ -224,4 +238,8 @@ QUERIES = {
         max(CAST(lon AS DOUBLE)) AS max_lng, max(CAST(lat AS DOUBLE)) AS max_lat FROM cache
         WHERE {GOOD} AND power_type IN ('风电', '太阳能发电')""")),
     "cache_roundtrip": (cache_roundtrip, _sql("SELECT status, message, lon, lat, level, query FROM cache")),
+    "cache_object": (cache_object, _sql("SELECT status, message, lon, lat, level, query FROM cache")),
+    "power_types_in_order": (power_types_in_order, _sql(f"""SELECT power_type, entries, row_number() OVER (ORDER BY
+            CASE power_type WHEN '风电' THEN 1 WHEN '水电' THEN 2 WHEN '太阳能发电' THEN 3 WHEN '未标注' THEN 4 END) AS place
+        FROM (SELECT coalesce(nullif(power_type, ''), '未标注') AS power_type, count(*) AS entries FROM cache WHERE {GOOD} GROUP BY 1)""")),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattlink import constants as K, schemas
 from wattlink.checks.fixtures import duck_ctes, spark_view, table
 from wattlink.functions import geo, measure as M
-from wattlink.operators import association as A, imports as I, polygons as P, views as V
+from wattlink.operators import association as A, imports as I, polygons as P, registry as R, views as V
 from wattlink.operators.ranking import in_read_order, numbered
 from wattlink.plans import jobs
 from wattlink.session import scratch_path
@@ -220,6 +220,38 @@ def farms_page_after(spark, sf_dir):
     return V.page_after(_farms(spark, sf_dir), 100, 20).select("id", "enterprise_name")
 
 
+def farms_of_unlisted_province(spark, sf_dir):
+    """A province that is not on the list keeps LIKE rules."""
+    farms = spark_view(spark, sf_dir, "farms")
+    return farms.where(V.province_match("province", "_南")).select("id", "province")
+
+
+def strict_import_file(spark, sf_dir):
+    """A strict import file with line breaks, quotes and blanks in its cells: rows in file order."""
+    path = scratch_path(spark, "import")
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select(
+        F.concat(F.lit("  "), "c_name", F.lit('\n"站" ')).alias("企业名称"), F.col("c_custkey").cast("string").alias("装机容量"), F.lit(" ").alias("省"))
+    csvio.write_csv(rows, path)
+    return csvio.read_import_csv(spark, path)
+
+
+def import_template_rows(spark, sf_dir):
+    """The sample row of the farm template under the name of every customer, taken through the import."""
+    template = csvio.import_template(spark, "power-fields")
+    sample = template.first().asDict()
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_no"), *[
+        (F.col("c_name") if c == "企业名称" else F.lit(sample[c])).alias(c) for c in template.columns])
+    return I.farm_rows(I.validate_import(rows, "power-fields")).select(
+        "row_no", "enterprise_name", "power_type", "capacity", "longitude", "latitude", "confidence")
+
+
+def current_stamps(spark, sf_dir):
+    """Rows stamped with the time of the run, held against the clock."""
+    stamped = table(spark, sf_dir, "orders").select("o_orderkey", R.update_stamp().alias("stamp"), F.current_timestamp().alias("now"))
+    age = F.unix_timestamp("now") - F.unix_timestamp(R.parsed_time("stamp"))
+    return stamped.select("o_orderkey", F.length("stamp").cast("long").alias("size"), age.between(0, 1).alias("is_now"))
+
+
 def farms_of_province(spark, sf_dir):
     farms = spark_view(spark, sf_dir, "farms")
     return farms.where(V.energy_match("solar") & V.province_match("province", "浙江")).select("id", "province")
@@ -336,6 +368,12 @@ URL = "'/api/recognition/image?type=' || energy_type || '&name=' || replace(orig
 QUERIES = {
     "upsert_farms": (upsert_farms, FARM_SQL),
     "upsert_by_key": (upsert_by_key, FARM_SQL),
+    "farms_of_unlisted_province": (farms_of_unlisted_province, duck_ctes("farms") + "SELECT id, province FROM farms WHERE province LIKE '%_南%'"),
+    "strict_import_file": (strict_import_file, """SELECT c_name || chr(10) || '"站"' AS 企业名称, CAST(c_custkey AS VARCHAR) AS 装机容量, '' AS 省,
+        row_number() OVER (ORDER BY c_custkey) AS row_no FROM customer"""),
+    "import_template_rows": (import_template_rows, """SELECT c_custkey AS row_no, c_name AS enterprise_name, '太阳能发电' AS power_type,
+        '2' AS capacity, '99.214841' AS longitude, '26.077895' AS latitude, 0.95::DOUBLE AS confidence FROM customer"""),
+    "current_stamps": (current_stamps, "SELECT o_orderkey, 19::BIGINT AS size, true AS is_now FROM orders"),
     "snapshot_import": (snapshot_import, FARM_SQL.replace("f.capacity ELSE", "NULL ELSE")),
     "upsert_points": (upsert_points, duck_ctes("points", "images") + f""",
         incoming AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'tile ' || (l_orderkey + 1) || '.jpg' ELSE 'part ' || l_partkey || '.jpg' END

@@ -52,6 +52,25 @@ def write_cache(cache: DataFrame, path: str) -> None:
     cache_lines(cache).write.mode("overwrite").text(path)
 
 
+def write_cache_object(cache: DataFrame, path: str) -> None:
+    """Write the cache as one JSON object whose keys are the queries, in parts that follow each other by name; joined
+    they are the file that viewers load. Every entry is a line, all but the first led by a comma."""
+    entries = cache_lines(cache.where("query IS NOT NULL"))
+    first = entries.agg(F.min("value")).first()[0]
+    inner = F.substring("value", F.lit(2), F.length("value") - 2)  # without its braces
+    opening = "{" + (first[1:-1] if first else "")
+    spark = cache.sparkSession
+    ends = [spark.createDataFrame([(text,)], "value string").coalesce(1) for text in (opening, "}")]
+    others = entries.where(F.col("value") != F.lit(first)).select(F.concat(F.lit(","), inner).alias("value"))
+    ends[0].unionByName(others).unionByName(ends[1]).write.mode("overwrite").text(path)
+
+
+def read_cache_object(spark: SparkSession, path: str) -> DataFrame:
+    """A cache written by `write_cache_object`, its parts read in parallel."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"^[{,]", "").alias("value")).where("value NOT IN ('', '}')")
+    return cache_entries(lines.select(F.concat(F.lit("{"), "value", F.lit("}")).alias("value")))
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Whole boundary files: path, body."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
