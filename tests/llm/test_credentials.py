@@ -72,3 +72,65 @@ def test_rare_kinds_are_labelled_in_every_row(spark):
     few = C.fitted(docs, C.Fit(strings=20))
     want = sorted(strings, key=lambda s: C.xxhash.xxh64_intdigest(s.encode(), 42))[:20]
     assert few.formats[0].visits == C.Automaton(want, 0.05).visits
+
+
+def brute_candidates(text):
+    """Maximal stretches of credential characters that no base span covers, character by character."""
+    free = [bool(re.match("[A-Za-z0-9+/_.=-]", c)) for c in text]
+    cut = [False] * (len(text) + 1)
+    whole = re.finditer("[A-Za-z0-9+/_.=-]+", text)
+    long = {i for m in whole if len(m[0]) >= 16 for i in range(*m.span())}
+    for s, _, e, _ in C.base_spans(text):
+        for i in range(s, e):
+            free[i], cut[i] = False, True
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and free[j] and j in long:
+            j += 1
+        if j > i:
+            a, b = i, j
+            while a < b and i and cut[i - 1] and text[a] in "+/_.=-":
+                a += 1
+            while b > a and cut[j] and text[b - 1] in "+/_.=-":
+                b -= 1
+            if b - a >= 16 and re.search("[A-Za-z]", text[a:b]):
+                out.append((a, b))
+        i = max(j, i + 1)
+    return out
+
+
+def test_candidates_match_brute_force():
+    rng = random.Random(12)
+    bits = ["AKIA" + "A1" * 8, "token=", "password: ", "abcdef12", "/", "=", ".", " ", "x" * 9, "0123456789", "f" * 24, "Zq9", "--", "\n", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    found = [C.candidates(t, C.base_spans(t)) for t in texts]
+    assert found == [brute_candidates(t) for t in texts] and sum(map(len, found)) > 500
+
+
+def test_rest_of_a_touched_run_is_scored_and_redacted(spark):
+    rng = random.Random(3)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [f"secret = {mixed(40)}" for _ in range(80)] + [f"ordinary-page-number-{i}-of-the-day" for i in range(80)]
+    key, rest = "AKIA" + "B7" * 8, mixed(40)
+    letters = "".join(c for c in mixed(90) if c.isalpha())[:40]
+    texts += [f"uses {key}/{rest} here", f"alone {letters} here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in C.redacted(docs).collect()}
+    assert got[160] == "uses [secret]/[secret] here" and got[161] == "alone [secret] here"
+    assert all(got[i] == t for i, t in enumerate(texts) if 80 <= i < 160)
+
+
+def test_one_state_gives_plain_letter_shares():
+    """With a bound that nothing exceeds all states merge into one, whose scores are letter shares."""
+    import math
+    strings = ["ab", "abb", "b", "aab"]
+    a = C.Automaton(strings, 2 * math.exp(-2 * 3 ** 2))
+    n, text = len("".join(strings)), "".join(strings)
+    assert len(a.next) == 1 and a.visits == [n + len(strings)] and a.ends == [len(strings)]
+    share = {c: (text.count(c) + (text.count(c) + 1) / (n + 66)) / (n + len(strings) + 1) for c in "ab"}
+    want = math.log(share["a"]) + math.log(share["b"]) + math.log((len(strings) + 0.1) / (n + len(strings) + 1))
+    assert abs(a.score("ab") - want) < 1e-12
+    # and with one that everything exceeds, the prefix tree stays as it is
+    tree = C.Automaton(["abc"] * 50 + ["abd"] * 50 + ["xyz"] * 50, 1.9)
+    assert len(tree.next) > 3 and tree.score("abc") > tree.score("xbc")

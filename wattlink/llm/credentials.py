@@ -4,9 +4,11 @@ Labelled credentials are what the base patterns find in all rows. From a bounded
 strings of each kind a prefix tree is built, and its states are merged where their outgoing
 frequencies agree within Hoeffding bounds (state merging in the red-blue order), which leaves a
 probabilistic automaton of the format. A further automaton is inferred from ordinary long tokens of
-the same sample. Every run of 16 or more credential characters with a letter and a digit, in every
-text, is scored: it is a secret of kind `learned` if some format gives it `min_ratio` more nats per
-character than the ordinary automaton. Base spans always stay; learned ones never overlap them.
+the same sample. Every run of `SHORTEST` or more credential characters with a letter, in every text, is
+scored, with or without a digit; of a run that base spans touch, the parts they leave are. It is a secret of kind
+`learned` if some format gives it `min_ratio` more nats per character than the ordinary automaton. Base spans
+always stay; learned ones never overlap them. Shorter strings are as long as ordinary words and are found by
+the base patterns only.
 
 Cases: a null text is empty and has no spans; without `min_strings` labelled credentials of a kind
 there is no automaton of it; repeated rows are scanned each; extra columns pass through `redacted`.
@@ -33,7 +35,9 @@ _EITHER = "|".join(
 ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 16  # characters of a candidate
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+_JOINTS = "+/_.=-"
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _ALPHABET = 66  # credential characters
 
@@ -62,20 +66,25 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def _long_words(text: str) -> str:
-    return " ".join([w for w in text.split() if len(w) >= 16])
+    return " ".join([w for w in text.split() if len(w) >= SHORTEST])
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit that no base span touches."""
-    long = _long_words(text)
-    if not any(map(str.isdigit, long)):
+    """Runs with a letter, less what base spans take of them; parts that a span cut off lose the joints to it."""
+    if not _long_words(text):
         return []
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run):
-            if not any(s < m.end() and m.start() < e for s, _, e, _ in taken):
-                out.append(m.span())
+        (begin, end), parts = m.span(), []
+        at = begin
+        for a, e in [*sorted((a, e) for a, _, e, _ in taken if a < end and begin < e), (end, end)]:
+            if a > at:
+                part = text[at:a]
+                left = len(part) - len(part.lstrip(_JOINTS)) if at > begin else 0
+                right = len(part.rstrip(_JOINTS)) if a < end else len(part)
+                parts.append((at + left, at + right))
+            at = max(at, e)
+        out += [(a, e) for a, e in parts if e - a >= SHORTEST and any(c.isalpha() for c in text[a:e])]
     return out
 
 
