@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wattlink import constants as K
 from wattlink.functions.text import JS_SPACE, strip, text
-from wattlink.operators.ranking import numbered
+from wattlink.sources.csvlines import BOM, read_records
 
-BOM = "﻿"
 _DIALECT = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
@@ -23,9 +22,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_text_csv(spark: SparkSession, path: str, line_breaks: bool = True, **options) -> DataFrame:
     """Header CSV with every column as text. Quoted line breaks stay inside their cell.
 
-    A file with line breaks in cells is read by one task. `line_breaks=False` lets Spark split
-    large files that have none.
+    Large files are split either way; `line_breaks=False` saves the pass that finds which line breaks
+    stand in cells, and takes further reader options.
     """
+    if line_breaks and not options:
+        return read_records(spark, path)
     return spark.read.options(**_DIALECT | {"multiLine": line_breaks}, inferSchema=False, **options).csv(path)
 
 
@@ -47,14 +48,9 @@ def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
     """Strict import file: cells trimmed, empty lines skipped, a ragged row fails the whole file.
     Rows are numbered from 1 in file order as `row_no`; several files follow each other by path."""
-    df = spark.read.options(**_DIALECT, mode="FAILFAST", inferSchema=False, ignoreLeadingWhiteSpace=True,
-                            ignoreTrailingWhiteSpace=True).csv(path)
-    # each file is read by one task, so the id rises inside a file
-    placed = df.select(
-        *[strip(F.col(f"`{c}`"), JS_SPACE).alias(strip_name(c)) for c in df.columns],
-        F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"),
-    )
-    return numbered(placed, [F.col("_file"), F.col("_line")]).drop("_file", "_line")
+    df = read_records(spark, path, strict=True, trimmed=True, number="_no")
+    return df.select(*[strip(F.col(f"`{c}`"), JS_SPACE).alias(strip_name(c)) for c in df.columns if c != "_no"],
+                     F.col("_no").alias("row_no"))
 
 
 def strip_name(name: str) -> str:
