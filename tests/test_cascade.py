@@ -50,6 +50,43 @@ def test_cascade_stops_without_progress_and_goes_on_later(spark):
     assert status["公司0"] == "failed" and status["公司5"] == "success"
 
 
+def test_waves_look_only_at_addresses_whose_open_query_failed(spark, monkeypatch):
+    table, looked, asked = rows(spark, 20), [], []
+    kept = G.looked_up
+
+    def counted(tried, cache):
+        looked.append(tried.count())
+        return kept(tried, cache)
+
+    cache = {"now": G.merge_responses(G.cache_frame(spark), answer(spark.createDataFrame(
+        [("address 3",), ("site 3",), ("rsite 4",)], "query string"), False))}
+
+    def landed(pending):
+        # what is asked is what the whole cascade over the whole cache asks
+        want = sorted(tuple(r) for r in G.geocode_pending(table, cache["now"]).collect())
+        assert sorted(tuple(r) for r in pending.collect()) == want
+        asked.append(len(want))
+        part = pending.where("query NOT LIKE '%5'")  # never answered
+        found = answer(part.where("query LIKE '%7'"), True).unionByName(answer(part.where("query NOT LIKE '%7'"), False))
+        cache["now"] = G.merge_responses(cache["now"], found)
+        return found
+
+    G.geocode_pending(table, cache["now"])
+    start = G.cascade(table.limit(0), G.cache_frame(spark), landed)[0].count()
+    monkeypatch.setattr(G, "looked_up", lambda tried, cache: counted(tried, cache) if "_rest" in tried.columns else kept(tried, cache))
+    resolved, known = G.cascade(table, cache["now"], landed)
+    status = {r["企业名称"]: (r["地理编码状态"], r["查询地址"]) for r in resolved.collect()}
+    again = {r["企业名称"]: (r["地理编码状态"], r["查询地址"]) for r in G.geocode_resolve(table, cache["now"]).collect()}
+    assert start == 0 and status == again and status["公司5"] == ("pending", "address 5") and status["公司7"][0] == "success"
+    per_address = G.geocode_candidates(table, ["企业名称"]).count() // 20
+    assert looked[0] == 20 * per_address
+    # wave by wave: no address that won or waits, and none of the candidates tried before
+    for k, n in enumerate(looked[1:], start=1):
+        assert n <= 16 * (per_address - k) + per_address
+    assert asked[0] == 20 and max(asked[1:]) <= 19
+    assert known.count() == cache["now"].count()
+
+
 def test_the_latest_of_several_answers_counts(spark):
     given = spark.createDataFrame([("q", 200, '{"status":"1"}', 1), ("q", 200, '{"status":"2"}', 3), ("q", 200, '{"status":"3"}', 2)],
                                   "query string, http_status int, body string, landed_at int")

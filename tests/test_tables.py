@@ -132,16 +132,22 @@ def test_point_import_partitions_and_evolution(spark, tmp_path):
 
 
 def test_images(spark, tmp_path):
-    for name in ("a.jpg", "sub/a.jpg", "sub/b c+d.jpg", ".hidden", "sub/.x.jpg"):
+    for name in ("a.jpg", "sub/a.jpg", "sub/b c+d%20.jpg", ".hidden", "sub/.x.jpg", ".away/c.jpg", "_d.jpg", "_e/deep/er/f.jpg"):
         target = tmp_path / name
-        target.parent.mkdir(exist_ok=True)
-        target.write_bytes(b"1")
-    files = images.list_images(spark, str(tmp_path))
-    assert sorted(r["name"] for r in files.collect()) == ["a.jpg", "a.jpg", "b c+d.jpg"]
+        target.parent.mkdir(exist_ok=True, parents=True)
+        target.write_bytes(b"" if name == "_d.jpg" else b"1")
+    (tmp_path / "sub" / "loop").symlink_to(tmp_path)
+    (tmp_path / "sub" / "link.jpg").symlink_to(tmp_path / "a.jpg")
+    (tmp_path / "nothing").mkdir()
+    names = ["_d.jpg", "a.jpg", "a.jpg", "b c+d%20.jpg", "f.jpg", "link.jpg", "loop"]
+    for folder in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        files = images.list_images(spark, folder)
+        assert sorted(r["name"] for r in files.collect()) == names
     best = {r["name"]: r["path"] for r in images.image_names(files).collect()}
-    assert best["a.jpg"].endswith("sub/a.jpg")
-    assert "ReadSchema: struct<path:string>" in files._jdf.queryExecution().toString() or "content" not in \
-        files._jdf.queryExecution().executedPlan().toString()
+    assert best["a.jpg"] == f"file:{tmp_path}/sub/a.jpg"
+    assert images.list_images(spark, str(tmp_path / "none")).count() == 0
+    landed = spark.createDataFrame([(f"x/{p}",) for p in ("a", "b/a", "a", ".b/c", "b/.c", "d/")] + [(None,)], "path string")
+    assert sorted(images.landed_images(landed).collect()) == [("x/a", "a"), ("x/b/a", "a")]
 
 
 def test_cache_files(spark, tmp_path):

@@ -10,8 +10,8 @@ from wattlink.functions import geo, measure as M
 from wattlink.operators import association as A, imports as I, polygons as P, registry as R, views as V
 from wattlink.operators.ranking import in_read_order, numbered
 from wattlink.plans import jobs
-from wattlink.session import scratch_path
-from wattlink.sources import csvio, tables as T
+from wattlink.session import scratch_path, ship
+from wattlink.sources import csvio, images, tables as T
 
 OLD, NOW = "2025-01-01 00:00:00", "2026-01-01 00:00:00"
 
@@ -235,6 +235,48 @@ def strict_import_file(spark, sf_dir):
     return csvio.read_import_csv(spark, path)
 
 
+def _image_paths(spark, sf_dir):
+    """Paths of made-up images below a folder per nation: some hidden, some under a second name."""
+    return table(spark, sf_dir, "customer").select(F.concat(
+        F.when(F.col("c_custkey") % 11 == 0, ".trash/").otherwise("tiles/"), F.col("c_nationkey").cast("string"),
+        F.when(F.col("c_custkey") % 3 == 0, "/sub/").otherwise("/"),
+        F.when(F.col("c_custkey") % 5 == 0, "_").when(F.col("c_custkey") % 7 == 0, ".").otherwise(""),
+        (F.col("c_custkey") % 400).cast("string"), F.lit(" +%.jpg")).alias("path"))
+
+
+def _written(root):
+    """Make the files of a column of paths below `root`, empty or not."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                system, inside, _ = images.opened(f"{root}/{path}")
+                system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(inside) as out:
+                    out.write(b"" if len(path) % 2 else b"1")
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["path"])
+
+    return run
+
+
+def image_inventory(spark, sf_dir):
+    """Every file below a written tree, and of each name the greatest path."""
+    root = scratch_path(spark, "tree")
+    ship(spark)
+    _image_paths(spark, sf_dir).distinct().mapInArrow(_written(root), "path string").count()
+    files = images.list_images(spark, root)
+    best = images.image_names(files).select("name", F.col("path").alias("best"))
+    below = lambda c: F.regexp_replace(c, "^.*?/(?=tiles/)", "").alias(c)
+    return files.join(best, "name").select("name", below("path"), below("best"))
+
+
+def landed_inventory(spark, sf_dir):
+    """The same from a table of paths."""
+    files = images.landed_images(_image_paths(spark, sf_dir))
+    return files.join(images.image_names(files).select("name", F.col("path").alias("best")), "name").select("name", "path", "best")
+
+
 def import_template_rows(spark, sf_dir):
     """The sample row of the farm template under the name of every customer, taken through the import."""
     template = csvio.import_template(spark, "power-fields")
@@ -365,7 +407,14 @@ HITS = """SELECT p.id, e.polygon_id FROM (SELECT id, CAST(longitude AS DOUBLE) A
 UNLINKED = "original_image NOT IN (SELECT name FROM images)"
 URL = "'/api/recognition/image?type=' || energy_type || '&name=' || replace(original_image, ' ', '%20')"
 
+TREE = """SELECT DISTINCT n || '.jpg' AS name, 'tiles/' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '/sub/' ELSE '/' END || n || '.jpg' AS path
+    FROM (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN '_' ELSE '' END || (c_custkey % 400) || ' +%' AS n FROM customer)
+    WHERE c_custkey % 11 <> 0 AND (c_custkey % 7 <> 0 OR c_custkey % 5 = 0)"""
+INVENTORY_SQL = f"SELECT name, path, max(path) OVER (PARTITION BY name) AS best FROM ({TREE})"
+
 QUERIES = {
+    "image_inventory": (image_inventory, INVENTORY_SQL),
+    "landed_inventory": (landed_inventory, INVENTORY_SQL),
     "upsert_farms": (upsert_farms, FARM_SQL),
     "upsert_by_key": (upsert_by_key, FARM_SQL),
     "farms_of_unlisted_province": (farms_of_unlisted_province, duck_ctes("farms") + "SELECT id, province FROM farms WHERE province LIKE '%_南%'"),

@@ -67,7 +67,11 @@ def geocode_candidates(structured: DataFrame, keep: list[str]) -> DataFrame:
 def _attempts(structured: DataFrame, cache: DataFrame) -> DataFrame:
     """Every candidate of every distinct address with its cache entry, if there is one."""
     distinct = _with_cascade(structured).select("_fp", "_cands").dropDuplicates(["_fp"])
-    tried = distinct.select("_fp", F.explode("_cands").alias("c")).select("_fp", "c.*")
+    return looked_up(distinct.select("_fp", F.explode("_cands").alias("c")).select("_fp", "c.*"), cache)
+
+
+def looked_up(tried: DataFrame, cache: DataFrame) -> DataFrame:
+    """Candidates (column query) with their cache entry, if there is one."""
     answers = cache.select(
         "query", F.coalesce("status", F.lit("")).alias("status"), "message", "lon", "lat", F.lit(True).alias("cached")
     )
@@ -113,6 +117,10 @@ def geocode_pending(structured: DataFrame, cache: DataFrame) -> DataFrame:
     is not cached yet. Distinct, with the best rank and level that asks for it."""
     open_ = _attempts(structured, cache).where(OPEN)
     front = first_per_key(open_, ["_fp"], [F.col("rank")]).where("NOT cached")
+    return _asked(front)
+
+
+def _asked(front: DataFrame) -> DataFrame:
     return front.groupBy("query").agg(
         F.min(F.struct("rank", "level")).alias("first")
     ).select("query", "first.rank", "first.level")
@@ -204,20 +212,45 @@ def skip_processed(rows: DataFrame, done: DataFrame, row_no: str | None = None)
     return first.join(seen, keys, "left_anti").drop(*keys)
 
 
+def _fronts(addresses: DataFrame, cache: DataFrame) -> DataFrame:
+    """Of addresses (_fp, _cands) with an open query: that query, and `_rest`, the candidates behind it."""
+    tried = F.transform("_cands", lambda c: F.struct(
+        c["rank"].alias("rank"), c["level"].alias("level"), c["query"].alias("query"),
+        F.filter("_cands", lambda later: later["rank"] > c["rank"]).alias("_rest")))
+    open_ = looked_up(addresses.select("_fp", F.explode(tried).alias("c")).select("_fp", "c.*"), cache).where(OPEN)
+    return first_per_key(open_, ["_fp"], [F.col("rank")]).where("NOT cached").select("_fp", "rank", "level", "query", "_rest")
+
+
+def advanced(open_: DataFrame, fresh: DataFrame, cache: DataFrame) -> DataFrame:
+    """The addresses that stay open after new answers. Only those whose open query has just failed look
+    further, and only at the candidates behind it. `cache` holds the new answers too."""
+    news = fresh.select("query", F.coalesce(F.col("status") == "success", F.lit(False)).alias("_won"))
+    met = durable(open_.join(news, "query", "left"))
+    failed = met.where("NOT _won").select("_fp", F.col("_rest").alias("_cands"))
+    return met.where("_won IS NULL").select(*open_.columns).unionByName(_fronts(failed, cache))
+
+
 def cascade(structured: DataFrame, cache: DataFrame, answer) -> tuple[DataFrame, DataFrame]:
     """Resolve in waves until no query is open or a wave brings no answer. `answer(pending)` returns
-    landed responses for the pending queries; answers may be late or partial. Each wave's cache is
+    landed responses for the pending queries; answers may be late or partial.
+
+    All candidates meet the cache once, before the first wave. From then on a wave joins its new answers
+    with the addresses still open, and the failed ones of these with the cache. What a wave leaves is
     written out, so lineage does not grow. Returns (geocoded, cache); rows whose queries are still
     open are pending, and `geocode_pending` lists those queries."""
+    addresses = _with_cascade(structured).select("_fp", "_cands").dropDuplicates(["_fp"])
+    open_, known, added = durable(_fronts(addresses, cache)), cache, None
     while True:
-        pending = durable(geocode_pending(structured, cache))
+        pending = durable(_asked(open_))
         if pending.isEmpty():
             break
-        fresh = durable(new_answers(cache, answer(pending)))
+        fresh = durable(new_answers(known, answer(pending)))
         if fresh.isEmpty():
             break
-        cache = durable(cache.unionByName(fresh, allowMissingColumns=True))
-    return geocode_resolve(structured, cache), cache
+        added = durable(added.unionByName(fresh)) if added is not None else fresh
+        known = cache.unionByName(added, allowMissingColumns=True)
+        open_ = durable(advanced(open_, fresh, known))
+    return geocode_resolve(structured, known), known
 
 
 def cache_frame(spark) -> DataFrame:
