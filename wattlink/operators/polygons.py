@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattlink.functions.documents import document
 from wattlink.functions.geo import crosses
 from wattlink.operators.nearest import BROADCAST_BYTES
+from wattlink.operators.ranking import computed_once
+from wattlink.session import stored
 
 CELL_DEGREES = 0.5
+LEVELS = 8  # cells of the top level are 2^8 times as wide
 
 
 def outer_rings(geojson: DataFrame, text: str = "body", keep: list[str] | None = None) -> DataFrame:
@@ -56,29 +59,58 @@ def _edges(ring: str) -> Column:
     return F.transform(ring, edge)
 
 
+def cover(polygons: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+    """Quadtree cells that hold a part of each polygon: polygon_id, level, cx, cy, edges, inner.
+
+    Cells of level k are `cell` * 2^k degrees wide. Going down from the top level, a cell that no edge touches lies
+    inside or outside as a whole: inside it is kept as it is, `inner` and without edges, outside it is
+    dropped. Others are split down to level 0, where they keep the edges that a ray to the right can
+    cross. Cells so grow with the outline of a polygon, not with its area.
+    """
+    top = lambda c: F.floor(c / F.lit(cell * 2 ** LEVELS)).cast("int")
+    span = lambda lo, hi: F.explode(F.sequence(top(F.col(lo)), top(F.col(hi))))
+    cells = polygons.where(F.size("ring") >= 3).select("polygon_id", _edges("ring").alias("edges"), ring_bounds().alias("b"))
+    cells = cells.withColumn("cy", span("b.min_lat", "b.max_lat")).withColumn("cx", span("b.min_lng", "b.max_lng"))
+    cells = cells.select("polygon_id", F.lit(LEVELS).alias("level"), "cx", "cy", "edges", F.lit(False).alias("inner"))
+    slack = 1e-9
+    for level in range(LEVELS, -1, -1):
+        size = cell * 2 ** level
+        left, low = F.col("cx") * F.lit(size), F.col("cy") * F.lit(size)
+        # rays run to the right: only the row of the cell and what does not lie left of it matter
+        met = F.filter("edges", lambda e: (F.greatest(e["yi"], e["yj"]) >= low - slack) & (F.least(e["yi"], e["yj"]) <= low + size + slack)
+                       & (F.greatest(e["xi"], e["xj"]) >= left - slack))
+        cells = computed_once(cells, edges=met)  # an inner cell has none to lose
+        touched = F.exists("edges", lambda e: F.least(e["xi"], e["xj"]) <= left + size + slack)
+        inside = F.size(F.filter("edges", lambda e: crosses(left + size / 2, low + size / 2, e))) % 2 == 1
+
+        def row(level, cx, cy, edges, inner):
+            return F.struct(F.lit(level).alias("level") if isinstance(level, int) else level.alias("level"), cx.alias("cx"),
+                            cy.alias("cy"), edges.alias("edges"), F.lit(inner).alias("inner"))
+
+        cx, cy, edges = F.col("cx"), F.col("cy"), F.col("edges")
+        halves = [row(level - 1, cx * 2 + i, cy * 2 + j, edges, False) for i in (0, 1) for j in (0, 1)] if level else [
+            row(0, cx, cy, edges, False)]
+        whole = row(F.col("level"), cx, cy, F.slice("edges", 1, 0), True)
+        cells = cells.select("polygon_id", F.inline(
+            F.when(F.col("inner"), F.array(whole)).when(touched, F.array(*halves)).when(inside, F.array(whole))))
+    return cells
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     """All (point id, polygon_id) with the point inside, by the even-odd rule.
 
     points: id, lng, lat.  polygons: polygon_id, ring (array of lng/lat); fewer than three
-    vertices hold nothing. Each polygon is cut into the grid cells its bounds cover, keeping in a
-    cell only the edges that a ray from it can cross. A point looks at its own cell only.
+    vertices hold nothing. A point looks at its own cell of every level that the cover of the polygons
+    has; an inner cell answers without edges.
     """
-    b = ring_bounds()
-    cut = polygons.where(F.size("ring") >= 3).select("polygon_id", _edges("ring").alias("edges"), b.alias("b"))
-    index = lambda c: F.floor(c / F.lit(cell)).cast("int")
-    span = lambda lo, hi: F.explode(F.sequence(index(F.col(lo)), index(F.col(hi))))
-    cells = cut.withColumn("cy", span("b.min_lat", "b.max_lat"))
-    # rays run to the right: only the row of the cell and what does not lie left of it matter
-    slack = 1e-9
-    low, high = F.col("cy") * F.lit(cell) - slack, (F.col("cy") + 1) * F.lit(cell) + slack
-    in_row = F.filter("edges", lambda e: (F.greatest(e["yi"], e["yj"]) >= low) & (F.least(e["yi"], e["yj"]) <= high))
-    cells = cells.withColumn("edges", in_row).withColumn("cx", span("b.min_lng", "b.max_lng"))
-    left = F.col("cx") * F.lit(cell) - slack
-    cells = cells.withColumn("edges", F.filter("edges", lambda e: F.greatest(e["xi"], e["xj"]) >= left))
-    cells = cells.select("cx", "cy", "polygon_id", "edges")
-    size = cells.agg(F.sum(F.size("edges") * 40 + 64).alias("bytes")).first()["bytes"] or 0
-    if size <= BROADCAST_BYTES:
+    cells = stored(cover(polygons, cell), "cover")
+    # at most one row per level
+    seen = cells.groupBy("level").agg(F.sum(F.size("edges") * 40 + 64).alias("bytes")).collect()
+    if sum(r["bytes"] for r in seen) <= BROADCAST_BYTES:
         cells = F.broadcast(cells)
-    placed = points.select("id", "lng", "lat", index(F.col("lng")).alias("cx"), index(F.col("lat")).alias("cy"))
+    index = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("int")
+    levels = F.array(*[F.lit(r["level"]) for r in seen]).cast("array<int>")
+    placed = points.select("id", "lng", "lat", index("lng").alias("cx"), index("lat").alias("cy"), F.explode(levels).alias("level"))
+    placed = placed.withColumns({c: F.expr(f"shiftright({c}, level)") for c in ("cx", "cy")})
     hits = F.size(F.filter("edges", lambda e: crosses(F.col("lng"), F.col("lat"), e)))
-    return placed.join(cells, ["cx", "cy"]).where(hits % 2 == 1).select("id", "polygon_id")
+    return placed.join(cells, ["level", "cx", "cy"]).where(F.col("inner") | (hits % 2 == 1)).select("id", "polygon_id")
