@@ -62,37 +62,43 @@ def _edges(ring: str) -> Column:
 def cover(polygons: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     """Quadtree cells that hold a part of each polygon: polygon_id, level, cx, cy, edges, inner.
 
-    Cells of level k are `cell` * 2^k degrees wide. Going down from the top level, a cell that no edge touches lies
-    inside or outside as a whole: inside it is kept as it is, `inner` and without edges, outside it is
-    dropped. Others are split down to level 0, where they keep the edges that a ray to the right can
+    Cells of level k are `cell` * 2^k degrees wide. A polygon starts at the level of its own extent, `LEVELS` at most. A
+    cell that no edge touches lies inside or outside as a whole: inside it is kept as it is, `inner` and
+    without edges, outside it is dropped. Others are split down to level 0, where they keep the edges that a ray to the right can
     cross. Cells so grow with the outline of a polygon, not with its area.
     """
-    top = lambda c: F.floor(c / F.lit(cell * 2 ** LEVELS)).cast("int")
-    span = lambda lo, hi: F.explode(F.sequence(top(F.col(lo)), top(F.col(hi))))
     cells = polygons.where(F.size("ring") >= 3).select("polygon_id", _edges("ring").alias("edges"), ring_bounds().alias("b"))
+    extent = F.greatest(F.col("b.max_lng") - F.col("b.min_lng"), F.col("b.max_lat") - F.col("b.min_lat"))
+    start = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(extent / cell)).cast("int"), F.lit(0))))
+    cells = computed_once(cells, level=start)
+    highest = cells.agg(F.max("level")).first()[0] or 0
+    index = lambda c: f"shiftright(CAST(floor({c} / {cell}D) AS INT), level)"
+    span = lambda lo, hi: F.explode(F.expr(f"sequence({index(lo)}, {index(hi)})"))
     cells = cells.withColumn("cy", span("b.min_lat", "b.max_lat")).withColumn("cx", span("b.min_lng", "b.max_lng"))
-    cells = cells.select("polygon_id", F.lit(LEVELS).alias("level"), "cx", "cy", "edges", F.lit(False).alias("inner"))
+    cells = cells.select("polygon_id", "level", "cx", "cy", "edges", F.lit(False).alias("inner"))
     slack = 1e-9
-    for level in range(LEVELS, -1, -1):
+    for level in range(highest, -1, -1):
         size = cell * 2 ** level
         left, low = F.col("cx") * F.lit(size), F.col("cy") * F.lit(size)
         # rays run to the right: only the row of the cell and what does not lie left of it matter
         met = F.filter("edges", lambda e: (F.greatest(e["yi"], e["yj"]) >= low - slack) & (F.least(e["yi"], e["yj"]) <= low + size + slack)
                        & (F.greatest(e["xi"], e["xj"]) >= left - slack))
-        cells = computed_once(cells, edges=met)  # an inner cell has none to lose
+        open_ = (F.col("level") == level) & ~F.col("inner")
+        cells = computed_once(cells, edges=F.when(open_, met).otherwise(F.col("edges")))
         touched = F.exists("edges", lambda e: F.least(e["xi"], e["xj"]) <= left + size + slack)
         inside = F.size(F.filter("edges", lambda e: crosses(left + size / 2, low + size / 2, e))) % 2 == 1
 
         def row(level, cx, cy, edges, inner):
             return F.struct(F.lit(level).alias("level") if isinstance(level, int) else level.alias("level"), cx.alias("cx"),
-                            cy.alias("cy"), edges.alias("edges"), F.lit(inner).alias("inner"))
+                            cy.alias("cy"), edges.alias("edges"), (F.lit(inner) if isinstance(inner, bool) else inner).alias("inner"))
 
         cx, cy, edges = F.col("cx"), F.col("cy"), F.col("edges")
         halves = [row(level - 1, cx * 2 + i, cy * 2 + j, edges, False) for i in (0, 1) for j in (0, 1)] if level else [
             row(0, cx, cy, edges, False)]
-        whole = row(F.col("level"), cx, cy, F.slice("edges", 1, 0), True)
+        same = row(F.col("level"), cx, cy, edges, F.col("inner"))
+        whole = row(level, cx, cy, F.slice("edges", 1, 0), True)
         cells = cells.select("polygon_id", F.inline(
-            F.when(F.col("inner"), F.array(whole)).when(touched, F.array(*halves)).when(inside, F.array(whole))))
+            F.when(~open_, F.array(same)).when(touched, F.array(*halves)).when(inside, F.array(whole))))
     return cells
 
 
