@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from wattlink import constants as K, schemas
 from wattlink.checks.fixtures import duck_ctes, spark_view, table
 from wattlink.functions import geo, measure as M
 from wattlink.operators import association as A, imports as I, polygons as P, registry as R, views as V
+from wattlink.operators.pages import ordered_pages
+from wattlink.operators.postings import build_index
 from wattlink.operators.ranking import in_read_order, numbered
 from wattlink.plans import jobs
 from wattlink.session import scratch_path, ship
@@ -191,6 +195,17 @@ def search_farms(spark, sf_dir):
     return V.search_farms(_farms(spark, sf_dir), "CUSTOMER 云_", "发电", "medium").select("id", "enterprise_name", "confidence")
 
 
+SEARCHES = [("indexed", "CUSTOMER 云_", "发电", "medium"), ("rare", "mer#000000012", None, None), ("both", "0001 浙江省", None, "low"),
+            ("short", "江", "风电", None), ("wild", "cust%99", None, None), ("absent", "不存在的", None, None)]
+
+
+def search_postings(spark, sf_dir):
+    """Searches over stored trigram postings, and the one that has to scan."""
+    index = build_index(_farms(spark, sf_dir))
+    found = [index.search(spark, *asked).select(F.lit(name).alias("search"), "id", "enterprise_name") for name, *asked in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def confidence_bands(spark, sf_dir):
     farms = spark_view(spark, sf_dir, "farms")
     return farms.groupBy(V.confidence_band().alias("band"), M.confidence_label("confidence").alias("label")).agg(
@@ -212,6 +227,12 @@ def recognition_page(spark, sf_dir):
     return V.page(view, 3, 10).select("id", "original_image")
 
 
+def recognition_deep_page(spark, sf_dir):
+    """The page of ten in the middle of all points."""
+    pages = ordered_pages(_points(spark, sf_dir))
+    return pages.page(spark, pages.total // 20 + 1, 10).select("id", "original_image")
+
+
 def recognition_total(spark, sf_dir):
     return V.total(V.recognition_view(_points(spark, sf_dir), spark_view(spark, sf_dir, "images"), unlinked_only=True))
 
@@ -479,6 +500,12 @@ QUERIES = {
     "search_farms": (search_farms, duck_ctes("farms") + """SELECT id, enterprise_name, confidence FROM farms
         WHERE (enterprise_name ILIKE '%CUSTOMER%' OR province ILIKE '%CUSTOMER%') AND (enterprise_name ILIKE '%云_%'
             OR province ILIKE '%云_%') AND power_type ILIKE '%发电%' AND confidence >= 0.8 AND confidence < 0.9"""),
+    "search_postings": (search_postings, duck_ctes("farms") + "SELECT asked.search, id, enterprise_name FROM farms JOIN ("
+        "VALUES ('indexed', '%CUSTOMER%', '%云_%', '%发电%', 0.8, 0.9), ('rare', '%mer#000000012%', '%', '%', 0, 9), "
+        "('both', '%0001%', '%浙江省%', '%', 0, 0.8), ('short', '%江%', '%', '%风电%', 0, 9), ('wild', '%cust%99%', '%', '%', 0, 9), "
+        "('absent', '%不存在的%', '%', '%', 0, 9)) asked(search, one, two, kind, low, high) "
+        "ON (enterprise_name ILIKE one OR province ILIKE one) AND (enterprise_name ILIKE two OR province ILIKE two) "
+        "AND power_type ILIKE kind AND confidence >= low AND confidence < high"),
     "confidence_bands": (confidence_bands, duck_ctes("farms") + """SELECT CASE WHEN confidence >= 0.9 THEN 'high'
         WHEN confidence >= 0.8 THEN 'medium' ELSE 'low' END AS band, CAST(round(confidence * 100) AS INTEGER) || '%' AS label,
         count(*) AS farms FROM farms GROUP BY ALL"""),
@@ -488,6 +515,8 @@ QUERIES = {
                              + f"SELECT id, CAST(NULL AS VARCHAR) AS image_url FROM points WHERE {UNLINKED}"),
     "recognition_page": (recognition_page, duck_ctes("points", "images") + f"""SELECT id, original_image FROM points WHERE {UNLINKED}
         ORDER BY id DESC LIMIT 10 OFFSET 20"""),
+    "recognition_deep_page": (recognition_deep_page, duck_ctes("points") + """SELECT id, original_image FROM (SELECT *,
+        row_number() OVER (ORDER BY id DESC) AS r, count(*) OVER () AS n FROM points) WHERE (r - 1) // 10 = n // 20"""),
     "recognition_total": (recognition_total, duck_ctes("points", "images")
                           + f"SELECT count(*) AS total FROM points WHERE {UNLINKED}"),
     "farms_page_after": (farms_page_after, duck_ctes("farms")

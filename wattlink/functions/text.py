@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -94,11 +95,18 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def fold_case(c: Column) -> Column:
+    """ASCII letters in lower case."""
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def fold_term(term: str) -> str:
+    return term.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+
+
 def like_any_case(c: Column, term: str) -> Column:
     """`LIKE '%term%'` ignoring ASCII case; % and _ in the term stay wildcards, \\ is literal."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    folded = term.translate(str.maketrans(upper, lower))
-    return F.translate(c, upper, lower).like("%" + folded.replace("\\", "\\\\") + "%")
+    return fold_case(c).like("%" + fold_term(term).replace("\\", "\\\\") + "%")
 
 
 def url_component(c: Column) -> Column:

@@ -11,7 +11,7 @@ GRAM = 3             # characters of a q-gram; shorter needles are their own
 CROWDED = 1 << 17    # texts with one q-gram from which its listing is spread over several tasks
 
 
-def _grams(text: Column, size: Column) -> Column:
+def grams_of(text: Column, size: Column) -> Column:
     """Hashes of the different runs of `size` (at most GRAM) characters. Takes time linear in the text: substring()
     would walk to every place from the beginning."""
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
@@ -24,7 +24,7 @@ def _grams(text: Column, size: Column) -> Column:
     return F.transform(F.array(chars), hashed)[0]
 
 
-def rarest_grams(listed: DataFrame, held: DataFrame, needle: str) -> DataFrame:
+def rarestgrams_of(listed: DataFrame, held: DataFrame, needle: str) -> DataFrame:
     """gram, needle, texts: every needle under the one of its q-grams that the fewest hays hold; needles with a q-gram
     that no hay holds are in none."""
     texts = held.groupBy("gram").agg(F.count("*").alias("texts"))
@@ -45,12 +45,12 @@ def containing_pairs(needles: DataFrame, hays: DataFrame, needle: str = "needle"
     sized = needles.where(F.length(needle) > 0).select(needle, size.alias("size"))
     stats = sized.agg(F.collect_set("size").alias("sizes"), F.sum(F.octet_length(needle) + 32).alias("bytes")).first()
     small = (stats["bytes"] or 0) <= BROADCAST_BYTES  # and so are its q-grams, of one long a character
-    listed = sized.select(needle, F.explode(_grams(F.col(needle), F.col("size"))).alias("gram"))
+    listed = sized.select(needle, F.explode(grams_of(F.col(needle), F.col("size"))).alias("gram"))
     wanted = listed.select("gram").distinct()
-    grams = [_grams(F.col(hay), F.lit(n)) for n in stats["sizes"]] or [F.array().cast("array<long>")]
+    grams = [grams_of(F.col(hay), F.lit(n)) for n in stats["sizes"]] or [F.array().cast("array<long>")]
     held = hays.select(hay, F.explode(F.concat(*grams)).alias("gram")).join(F.broadcast(wanted) if small else wanted, "gram", "left_semi")
     inside = F.contains(F.col(hay), F.col(needle))
-    index = rarest_grams(listed, held, needle)
+    index = rarestgrams_of(listed, held, needle)
     if small:
         return held.join(F.broadcast(index.drop("texts")), "gram").where(inside).select(needle, hay)
     index = stored(index, "rare-grams")

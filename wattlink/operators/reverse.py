@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wattlink import constants as K
 from wattlink.functions.documents import as_text, document, value_at
 from wattlink.functions.text import blank_to_null, strip, text
-from wattlink.operators.ranking import computed_once
+from wattlink.operators.ranking import computed_once, first_per_key
 
 
 def parse_reverse(responses: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def pending_lookups(points: DataFrame, lookup: DataFrame) -> DataFrame:
     return pairs.dropDuplicates().join(lookup, ["lng", "lat"], "left_anti")
 
 
-def reverse_poi(points: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Points with the POI of their exact coordinate texts; '' for blank or unknown ones."""
+def reverse_poi(points: DataFrame, lookup: DataFrame, newest: str | None = None) -> DataFrame:
+    """Points with the POI of their exact coordinate texts; '' for blank or unknown ones. Of several answers that
+    with the largest column `newest` holds, among these or without such a column the smallest text."""
     missing = [c for c in K.POI_INPUT_COLUMNS if c not in points.columns]
     if missing:
         raise ValueError(f"缺少字段: {', '.join(missing)}")
@@ -40,5 +41,6 @@ def reverse_poi(points: DataFrame, lookup: DataFrame) -> DataFrame:
     asked = (F.col("经度") != "") & (F.col("纬度") != "")
     # blank coordinates are a hot key that can never match: they get no join key
     p = p.withColumns({"_lng": F.when(asked, F.col("经度")), "_lat": F.when(asked, F.col("纬度"))})
-    found = lookup.select(F.col("lng").alias("_lng"), F.col("lat").alias("_lat"), "poi").dropDuplicates(["_lng", "_lat"])
+    answers = lookup.select(F.col("lng").alias("_lng"), F.col("lat").alias("_lat"), "poi", *([F.col(newest).alias("_at")] if newest else []))
+    found = first_per_key(answers, ["_lng", "_lat"], [*([F.desc_nulls_last("_at")] if newest else []), F.asc_nulls_last("poi")]).select("_lng", "_lat", "poi")
     return p.join(found, ["_lng", "_lat"], "left").select(*K.POI_INPUT_COLUMNS, text("poi").alias("POI"))
