@@ -79,7 +79,7 @@ def brute_candidates(text):
     free = [bool(re.match("[A-Za-z0-9+/_.=-]", c)) for c in text]
     cut = [False] * (len(text) + 1)
     whole = re.finditer("[A-Za-z0-9+/_.=-]+", text)
-    long = {i for m in whole if len(m[0]) >= 16 for i in range(*m.span())}
+    long = {i for m in whole if len(m[0]) >= C.SHORTEST for i in range(*m.span())}
     for s, _, e, _ in C.base_spans(text):
         for i in range(s, e):
             free[i], cut[i] = False, True
@@ -94,7 +94,7 @@ def brute_candidates(text):
                 a += 1
             while b > a and cut[j] and text[b - 1] in "+/_.=-":
                 b -= 1
-            if b - a >= 16 and re.search("[A-Za-z]", text[a:b]):
+            if b - a >= C.SHORTEST and re.search("[A-Za-z]", text[a:b]):
                 out.append((a, b))
         i = max(j, i + 1)
     return out
@@ -134,3 +134,25 @@ def test_one_state_gives_plain_letter_shares():
     # and with one that everything exceeds, the prefix tree stays as it is
     tree = C.Automaton(["abc"] * 50 + ["abd"] * 50 + ["xyz"] * 50, 1.9)
     assert len(tree.next) > 3 and tree.score("abc") > tree.score("xbc")
+
+
+def test_short_credentials_are_scored_and_words_stay(spark):
+    rng = random.Random(5)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    words = ["".join(rng.choice(["ba", "ne", "ti", "lo", "ru", "sha", "men", "ter"]) for _ in range(rng.randrange(3, 6))) for _ in range(400)]
+    texts = [f"token={mixed(8)} " + " ".join(rng.sample(words, 12)) for _ in range(300)]
+    texts += [f"code {mixed(8)} here", " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in C.scan(docs).collect()}
+    assert got[300]["spans"] == "learned:5:13" and sum(r["n_learned"] for r in got.values()) == 1
+
+
+def test_verdicts_do_not_depend_on_what_is_remembered(monkeypatch):
+    rng = random.Random(6)
+    a = C.Automaton(["k" + "".join(rng.choice("0123456789") for _ in range(9)) for _ in range(200)], 0.05)
+    b = C.Automaton(["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(200)], 0.05)
+    tokens = [rng.choice(["k", "b"]) + "".join(rng.choice("0123abcd") for _ in range(rng.randrange(6, 90))) for _ in range(300)] * 2
+    monkeypatch.setattr(C, "KNOWN", 7)
+    one = C.Scanner([a], b, C.Fit())
+    found = [one.secret(t) for t in tokens]
+    assert found == [C.Scanner([a], b, C.Fit()).secret(t) for t in tokens] and 0 < sum(found) < len(found)

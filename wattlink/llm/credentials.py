@@ -5,10 +5,11 @@ strings of each kind a prefix tree is built, and its states are merged where the
 frequencies agree within Hoeffding bounds (state merging in the red-blue order), which leaves a
 probabilistic automaton of the format. A further automaton is inferred from ordinary long tokens of
 the same sample. Every run of `SHORTEST` or more credential characters with a letter, in every text, is
-scored, with or without a digit; of a run that base spans touch, the parts they leave are. It is a secret of kind
-`learned` if some format gives it `min_ratio` more nats per character than the ordinary automaton. Base spans
-always stay; learned ones never overlap them. Shorter strings are as long as ordinary words and are found by
-the base patterns only.
+scored, with or without a digit; of a run that base spans touch, the parts they leave are. `SHORTEST` is the length
+of the shortest labelled credential, so ordinary words are candidates too. A candidate is a secret of kind
+`learned` if some format gives it `min_ratio` more nats per character than the ordinary automaton, and `min_gain`
+more in all, which asks more per character of a short one. An ordinary token may stand in capitals or begin with one:
+such a candidate is compared with its lower-case form as well. Base spans always stay; learned ones never overlap them.
 
 Cases: a null text is empty and has no spans; without `min_strings` labelled credentials of a kind
 there is no automaton of it; repeated rows are scanned each; extra columns pass through `redacted`.
@@ -35,11 +36,13 @@ _EITHER = "|".join(
 ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-SHORTEST = 16  # characters of a candidate
+SHORTEST = 6  # characters of a candidate
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+LETTER = re.compile("[A-Za-z]")
 _JOINTS = "+/_.=-"
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _ALPHABET = 66  # credential characters
+KNOWN = 1 << 16  # candidates whose verdict a task remembers
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,7 @@ class Fit:
     min_strings: int = 20
     alpha: float = 0.05         # confidence of the Hoeffding bound
     min_ratio: float = 0.5      # nats per character over the ordinary automaton
+    min_gain: float = 12.0      # nats over it in all: what one ordinary token in 160,000 reaches by chance
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -60,31 +64,35 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     # runs of these characters lie within one blank-separated word
-    if HEX.search(_long_words(text)):
+    if HEX.search(" ".join([w for w in text.split() if len(w) >= 24])):
         found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
-def _long_words(text: str) -> str:
-    return " ".join([w for w in text.split() if len(w) >= SHORTEST])
-
-
 def candidates(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     """Runs with a letter, less what base spans take of them; parts that a span cut off lose the joints to it."""
-    if not _long_words(text):
-        return []
-    out = []
+    if not taken:
+        return [m.span() for m in RUN.finditer(text) if LETTER.search(m[0])]
+    covered: list[list[int]] = []  # apart, in order
+    for a, _, e, _ in sorted(taken):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([a, e])
+    out, first = [], 0
     for m in RUN.finditer(text):
-        (begin, end), parts = m.span(), []
-        at = begin
-        for a, e in [*sorted((a, e) for a, _, e, _ in taken if a < end and begin < e), (end, end)]:
-            if a > at:
-                part = text[at:a]
-                left = len(part) - len(part.lstrip(_JOINTS)) if at > begin else 0
-                right = len(part.rstrip(_JOINTS)) if a < end else len(part)
-                parts.append((at + left, at + right))
-            at = max(at, e)
-        out += [(a, e) for a, e in parts if e - a >= SHORTEST and any(c.isalpha() for c in text[a:e])]
+        begin, end = m.span()
+        while first < len(covered) and covered[first][1] <= begin:
+            first += 1
+        at, k = begin, first
+        while at < end:
+            a, e = covered[k] if k < len(covered) and covered[k][0] < end else (end, end)
+            part = text[at:max(a, at)]
+            left = at + (len(part) - len(part.lstrip(_JOINTS)) if at > begin else 0)
+            right = at + (len(part.rstrip(_JOINTS)) if a < end else len(part))
+            if right - left >= SHORTEST and LETTER.search(text, left, right):
+                out.append((left, right))
+            at, k = e, k + 1
     return out
 
 
@@ -180,6 +188,7 @@ class Automaton:
 class Scanner:
     def __init__(self, formats: list[Automaton], ordinary: Automaton | None, fit: Fit):
         self.formats, self.ordinary, self.fit = formats, ordinary, fit
+        self._known: dict[str, bool] = {}  # verdicts of short candidates, which are often ordinary words
 
     def spans(self, text: str | None) -> list[tuple[int, int, int, int]]:
         text = text or ""
@@ -189,8 +198,20 @@ class Scanner:
         return sorted(found)
 
     def secret(self, token: str) -> bool:
-        plain = self.ordinary.score(token) if self.ordinary else -len(token) * math.log(_ALPHABET)
-        return max(f.score(token) for f in self.formats) - plain >= self.fit.min_ratio * len(token)
+        found = self._known.get(token)
+        if found is None:
+            plain = -len(token) * math.log(_ALPHABET)
+            if self.ordinary:
+                plain = self.ordinary.score(token)
+                if not token.islower() and (token.isupper() or token[1:].islower()):
+                    plain = max(plain, self.ordinary.score(token.lower()))
+            gain = max(f.score(token) for f in self.formats) - plain
+            found = gain >= max(self.fit.min_ratio * len(token), self.fit.min_gain)
+            if len(token) <= 64:
+                if len(self._known) >= KNOWN:
+                    self._known.clear()
+                self._known[token] = found
+        return found
 
 
 def _few(strings: set[str], n: int) -> set[str]:
@@ -201,11 +222,15 @@ def fitted(docs: DataFrame, fit: Fit = Fit()) -> Scanner:
     """Infer the automata from the labelled strings of all rows, a bounded number of each kind chosen by hash."""
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, set[str]] = {k: set() for k in range(4)}
+        seen: set[str] = set()  # bounded; strings looked at before need no second look
         for b in batches:
             for text in b.column(0).to_pylist():
                 found = base_spans(text)
                 new = [(kind, text[secret:end]) for _, kind, end, secret in found]
-                new += [(3, text[a:e]) for a, e in candidates(text, found)]
+                new += [(3, s) for s in {text[a:e] for a, e in candidates(text, found)} - seen]
+                seen.update(s for kind, s in new if kind == 3)
+                if len(seen) > KNOWN:
+                    seen.clear()
                 for kind, string in new:
                     if len(string) <= fit.longest:
                         kept[kind].add(string)
