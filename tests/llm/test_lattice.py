@@ -67,3 +67,25 @@ def test_frame(spark, vocabulary):
     many = {str(r["doc_id"]) + str(r["n_pieces"]): r["pieces"] for r in L.encoded(docs.repartition(5), vocabulary).collect()}
     assert one == many and all(r["lossless"] for r in L.encoded(docs, vocabulary).collect())
     assert L.encoded(docs.limit(0), vocabulary).count() == 0
+
+
+def test_long_units_are_walked_alike_and_in_time(vocabulary, monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("etaoinshrdlu漢é") for _ in range(9000))
+    texts, keys = [text, "a b " + text, text, "short"], np.array([1, 1, 2, 3], np.uint64)
+    walked, same = L.encode(vocabulary, texts, keys)
+    assert same.all() and not np.array_equal(walked[0], walked[2])
+    monkeypatch.setattr(L, "WALKED", 100)
+    steps, _ = L.encode(vocabulary, texts, keys)
+    monkeypatch.setattr(L, "LONG", 1 << 40)
+    levels, _ = L.encode(vocabulary, texts, keys)
+    for a, b, c in zip(walked, steps, levels):
+        assert np.array_equal(a, b) and np.array_equal(a, c)
+    monkeypatch.undo()
+    million = "".join(rng.choice("abcdefghijklm") for _ in range(1_000_000))
+    begin = time.monotonic()
+    ids, same = L.encode(vocabulary, [million], keys[:1])
+    assert same.all() and L.decode(vocabulary, ids[0]) == million and time.monotonic() - begin < 30

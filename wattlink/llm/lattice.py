@@ -9,7 +9,8 @@ The vocabulary is that of a SentencePiece model file, which is read and never tr
 scores pieces by merge rank; a piece of rank r weighs (r + 1)^-theta (Zipf). Characters without a
 piece fall back to byte pieces. No piece holds a space mark after another character, so the lattice
 falls apart at words: a run of space marks with the characters up to the next one is a unit, and
-equal units of a batch are filtered once. All work inside a batch is array work.
+equal units of a batch are filtered once. Work inside a batch is array work over all units at a time; only
+a unit of more than `LONG` characters without a blank is walked alone, as its levels hold one node each.
 
 Decoding is lossless for every text: blanks are space marks, a literal space mark is written in
 bytes, and the one leading space mark that encoding adds is taken off again.
@@ -20,6 +21,7 @@ stream; repeated rows with equal keys are segmented alike; extra columns pass th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,8 @@ from wattlink.llm.common import POWERS, mix64, prefix_hash, span_hash, text_bloc
 
 MARK, LITERAL = 0x2581, 0x110000  # the space mark, and the stand-in for one that the text itself holds
 BLOCK_CHARS = 1_000_000
+LONG = 2048          # characters of a unit that is walked node by node instead of with all others, level by level
+WALKED = 1 << 14     # nodes whose edges are taken out of the arrays at once
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -115,10 +119,10 @@ def decode(vocabulary: Vocabulary, ids) -> str | None:
     return vocabulary.decode(np.asarray(ids, np.int64))[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
-def draws(key: np.ndarray, unit: np.ndarray, step: int, seed: int) -> np.ndarray:
+def draws(key: np.ndarray, unit: np.ndarray, step: int | np.ndarray, seed: int) -> np.ndarray:
     """Uniform numbers in [0, 1) for (row key, unit of the row, piece from the unit's end)."""
     x = mix64(key + np.uint64(seed & (2**64 - 1)) * np.uint64(0xD1B54A32D192ED03))
-    x = mix64(x ^ (unit.astype(np.uint64) * np.uint64(0xABC98388FB8FAC03) + np.uint64(step)))
+    x = mix64(x ^ (unit.astype(np.uint64) * np.uint64(0xABC98388FB8FAC03) + np.asarray(step, np.uint64)))
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
@@ -163,9 +167,40 @@ class Lattice:
         n_nodes = len(own) + len(size)
         into = np.bincount(end, minlength=n_nodes)
         self.first = (np.cumsum(into) - into).astype(np.int32)       # first edge into each node
-        self._filter(n_nodes, end, weight, level[order])
-
-    def _filter(self, n_nodes: int, end: np.ndarray, weight: np.ndarray, level: np.ndarray) -> None:
+        self.long = np.flatnonzero(size > LONG)
+        alone = size[unit[start]][order] > LONG
+        self.upto = np.zeros(len(end), np.float32)
+        some = np.flatnonzero(~alone)
+        self.upto[some] = self._filter(n_nodes, end[some], weight[some], level[order][some], self.start[some])
+        for k in self.long.tolist():
+            self._walk(int(self.root[k]), int(self.leaf[k]), weight)
+
+    def _walk(self, root: int, leaf: int, weight: np.ndarray) -> None:
+        """Forward filtering of one long unit."""
+        alpha = [0.0]  # of the unit's nodes
+        exp, log = math.exp, math.log
+        for a in range(root + 1, leaf + 1, WALKED):
+            b = min(a + WALKED, leaf + 1)
+            first = self.first[a:b].tolist()
+            e0, e1 = first[0], int(self.first[b]) if b < len(self.first) else len(weight)
+            starts, weights, upto = (self.start[e0:e1] - root).tolist(), weight[e0:e1].tolist(), []
+            for x, y in zip(first, [*first[1:], e1]):
+                if y - x == 1:
+                    alpha.append(alpha[starts[x - e0]] + weights[x - e0])
+                    upto.append(2.0)
+                    continue
+                values = [alpha[starts[k]] + weights[k] for k in range(x - e0, y - e0)]
+                top = max(values)
+                values = [exp(v - top) for v in values]
+                total, summed = sum(values), 0.0
+                alpha.append(top + log(total))
+                for v in values[:-1]:
+                    summed += v / total
+                    upto.append(summed)
+                upto.append(2.0)  # the last edge takes what is left
+            self.upto[e0:e1] = upto
+
+    def _filter(self, n_nodes: int, end: np.ndarray, weight: np.ndarray, level: np.ndarray, start: np.ndarray) -> np.ndarray:
         alpha = np.zeros(n_nodes)
         chance = np.zeros(len(end), np.float32)
         if level.max(initial=0) < 1 << 16:
@@ -177,7 +212,7 @@ class Lattice:
             to = end[e]
             runs = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             width = np.diff(np.append(runs, len(e)))
-            value = alpha[self.start[e]] + weight[e]
+            value = alpha[start[e]] + weight[e]
             top = np.maximum.reduceat(value, runs)
             value = np.exp(value - np.repeat(top, width))
             total = np.add.reduceat(value, runs)
@@ -187,12 +222,14 @@ class Lattice:
             summed -= np.repeat(summed[runs] - value[runs], width)
             summed[runs + width - 1] = 2.0  # the last edge takes what is left
             chance[e] = summed
-        self.upto = chance
+        return chance
 
     def sample(self, unit: np.ndarray, key: np.ndarray, number: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each occurrence of a unit, in order, and how many. Negative: a character in bytes."""
         node, root = self.leaf[unit], self.root[unit]
-        active, step = np.arange(len(unit)), 0
+        alone = np.isin(unit, self.long)
+        active, step = np.flatnonzero(~alone), 0
+        node = node[active]
         who, what = [], []
         while len(active):
             u = draws(key[active], number[active], step, seed)
@@ -208,12 +245,31 @@ class Lattice:
         count = np.zeros(len(unit), np.int64)
         for w in who:
             count[w] += 1
+        walks = {int(k): self._walk_back(int(unit[k]), key[k:k + 1], number[k:k + 1], seed) for k in np.flatnonzero(alone)}
+        for k, pieces in walks.items():
+            count[k] = len(pieces)
         last = np.cumsum(count) - 1
         out = np.zeros(int(count.sum()), np.int64)
         for k, (w, p) in enumerate(zip(who, what)):
             out[last[w] - k] = p
+        for k, pieces in walks.items():
+            out[last[k] + 1 - len(pieces):last[k] + 1] = pieces
         return out, count
 
+    def _walk_back(self, unit: int, key: np.ndarray, number: np.ndarray, seed: int) -> np.ndarray:
+        """Pieces of one occurrence of a long unit, by the same draws and shares as those of all others."""
+        root, at = int(self.root[unit]), int(self.leaf[unit])
+        edges, u, step = [], [], 0
+        while at != root:
+            if step == len(u):
+                u += draws(key, number, np.arange(step, step + WALKED), seed).tolist()
+            edge = int(self.first[at])
+            while u[step] >= self.upto[edge]:
+                edge += 1
+            edges.append(edge)
+            at, step = int(self.start[edge]), step + 1
+        return self.piece[np.array(edges[::-1], np.int64)]
+
 
 def _split(text: str, most: int) -> list[str]:
     """Cut a long text where a unit begins, into parts of about `most` characters."""
