@@ -79,7 +79,7 @@ def brute_candidates(text):
     free = [bool(re.match("[A-Za-z0-9+/_.=-]", c)) for c in text]
     cut = [False] * (len(text) + 1)
     whole = re.finditer("[A-Za-z0-9+/_.=-]+", text)
-    long = {i for m in whole if len(m[0]) >= C.SHORTEST for i in range(*m.span())}
+    long = {i for m in whole if len(m[0]) >= 6 for i in range(*m.span())}
     for s, _, e, _ in C.base_spans(text):
         for i in range(s, e):
             free[i], cut[i] = False, True
@@ -94,7 +94,7 @@ def brute_candidates(text):
                 a += 1
             while b > a and cut[j] and text[b - 1] in "+/_.=-":
                 b -= 1
-            if b - a >= C.SHORTEST and re.search("[A-Za-z]", text[a:b]):
+            if b - a >= 6 and re.search("[A-Za-z]", text[a:b]):
                 out.append((a, b))
         i = max(j, i + 1)
     return out

@@ -34,7 +34,7 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 
 @dataclass(frozen=True)
 class Fit:
-    min_texts: int = 1        # training texts from which a language is learned
+    min_texts: int = 5
     sample_rows: int = 2000   # of training rows, to scale and weigh the classifiers
     ambiguous_below: float = 0.2  # lead in loss over the second language
 
