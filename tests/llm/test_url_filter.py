@@ -48,3 +48,11 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], "url string")
     assert U.judge(pages.limit(0), rules, nothing).count() == 0
     assert U.judge(pages, rules.limit(0), nothing).first()["verdict"] == "allow"
+
+
+def test_keys_of_a_host_with_very_many_labels_stay_linear(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    long = "http://" + "x." * 200_000 + "b.c/x/yy/" + "p" * 100_000
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "." * 100_000 + "net/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(pages, rules, spark.createDataFrame([], "url string")).collect()}
+    assert got == {1: ("b.c/x/yy", "block"), 2: ("net/", "block")}

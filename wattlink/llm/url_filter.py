@@ -20,6 +20,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wattlink.llm.common import written
+
 BITS, KEY_BITS = 256, 8
 BITS_PER_KEY = 16
 BROADCAST_BYTES = 64 << 20
@@ -78,15 +80,19 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, other: str = "a
     rule_keys = rules.groupBy("host", "path").agg(F.max_by("verdict", order).alias("verdict")).select(
         F.concat(F.lit("r:"), "host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict",
         F.length("host").alias("host_length"))
-    keys = rule_keys.unionByName(
-        listed.where("url IS NOT NULL").select(F.concat(F.lit("u:"), "url").alias("key")).distinct(), allowMissingColumns=True)
+    keys = written(rule_keys.unionByName(
+        listed.where("url IS NOT NULL").select(F.concat(F.lit("u:"), "url").alias("key")).distinct(), allowMissingColumns=True), "listed-keys")
     filter_, n_blocks = bloom(keys)
-    # as many as the lengths of rule paths, whatever the number of rules
+    # as many as the label counts of rule hosts and the lengths of rule paths, whatever the number of rules
+    depths = [r[0] for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
     lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().collect()]
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     urls = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # of a host with very many labels only suffixes as deep as some rule host, so that its keys stay linear in its length
+    suffixes = F.filter(
+        F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in depths]).cast("array<string>"),
+        lambda s: s.isNotNull())
     prefixes = F.filter(
         F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]).cast("array<string>"),
         lambda p: p.isNotNull())
