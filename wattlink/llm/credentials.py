@@ -37,12 +37,13 @@ ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SHORTEST = 6  # characters of a candidate
-RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")  # the leftmost match begins where the run does
 LETTER = re.compile("[A-Za-z]")
 _JOINTS = "+/_.=-"
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _ALPHABET = 66  # credential characters
-KNOWN = 1 << 16  # candidates whose verdict a task remembers
+KNOWN = 1 << 18  # candidates whose verdict a task remembers
+STEPS = 1 << 16  # steps of an automaton that a task remembers
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,7 @@ class Automaton:
         total = sum(letters.values())
         self.letters = {c: (n + 1) / (total + _ALPHABET) for c, n in letters.items()}
         self.unseen = 1 / (total + _ALPHABET)
+        self._steps: dict[tuple[int, str], tuple[float, int]] = {}  # log share and next state, once asked
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
 
@@ -179,9 +181,14 @@ class Automaton:
         and lead back to the start."""
         state, out = 0, 0.0
         for c in s:
-            n = self.visits[state]
-            out += math.log((self.count[state].get(c, 0) + self.letters.get(c, self.unseen)) / (n + 1))
-            state = self.next[state].get(c, 0)
+            step = self._steps.get((state, c))
+            if step is None:
+                share = (self.count[state].get(c, 0) + self.letters.get(c, self.unseen)) / (self.visits[state] + 1)
+                step = math.log(share), self.next[state].get(c, 0)
+                if len(self._steps) < STEPS:
+                    self._steps[state, c] = step
+            out += step[0]
+            state = step[1]
         return out + math.log((self.ends[state] + 0.1) / (self.visits[state] + 1))
 
 
