@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wattlink.functions.text import fold_case, fold_term
 from wattlink.operators import views
-from wattlink.operators.containment import GRAM, grams_of
+from wattlink.operators.containment import GRAM, _grams
 from wattlink.session import scratch_path
 
 BUCKETS = 64      # folders of postings by trigram
@@ -43,7 +43,7 @@ class SearchIndex:
         if not parts:
             return None
         grams = [g for (found,) in spark.createDataFrame([(p,) for p in parts], "part string").select(
-            grams_of(F.col("part"), F.lit(GRAM))).collect() for g in found]
+            _grams(F.col("part"), F.lit(GRAM))).collect() for g in found]
         held = spark.read.schema(HELD).parquet(f"{self.path}/held").where(_in_buckets(grams))
         counts = {r["gram"]: r["held"] for r in held.collect()}  # at most one row per trigram of the term
         return min(((g, counts.get(g, 0)) for g in grams), key=lambda x: (x[1], x[0]))
@@ -89,7 +89,7 @@ def build_index(df: DataFrame, columns: tuple[str, ...] = ("enterprise_name", "p
     dealt.write.partitionBy("_block").parquet(f"{path}/rows")
     rows = index.rows(spark)
     grams = F.array_distinct(F.concat(*[
-        F.coalesce(grams_of(fold_case(F.col(c)), F.lit(GRAM)), F.array().cast("array<long>")) for c in columns]))
+        F.coalesce(_grams(fold_case(F.col(c)), F.lit(GRAM)), F.array().cast("array<long>")) for c in columns]))
     postings = rows.select(F.explode(grams).alias("gram"), F.col(id_column).alias("_id"), "_block")
     # by trigram inside a folder, so that row groups are skipped; a trigram of many rows spreads over several files
     ranged = postings.withColumn("bucket", _bucket(F.col("gram"))).repartitionByRange(blocks, "bucket", "gram", "_id")
