@@ -9,7 +9,7 @@ from wattlink.checks.addresses import structured, structured_ctes
 from wattlink.checks.fixtures import duck_ctes, spark_view
 from wattlink.operators import geocode as G, reverse, views
 from wattlink.operators.ranking import in_read_order
-from wattlink.session import durable, scratch_path
+from wattlink.session import durable, scratch_path, stored
 from wattlink.sources import csvio, landed
 
 # the answer to a query follows from its text: long ones fail, middling ones succeed, short ones
@@ -69,7 +69,8 @@ def _answers(pending):
 
 def geocode_cascade(spark, sf_dir):
     rows = _written(spark, sf_dir)
-    rows, _ = G.cascade(rows, _cache(spark, sf_dir, rows), _answers)
+    # every wave looks into the cache: written once
+    rows, _ = G.cascade(rows, stored(_cache(spark, sf_dir, rows), "cache"), _answers)
     return rows.select("id", *K.GEOCODE_COLUMNS)
 
 
@@ -146,7 +147,8 @@ def cache_roundtrip(spark, sf_dir):
 def cache_object(spark, sf_dir):
     """The cache as one JSON object in parts, read back."""
     path = scratch_path(spark, "cache-object")
-    landed.write_cache_object(_cache(spark, sf_dir), path)
+    # read for its first entry and for all others: written once
+    landed.write_cache_object(stored(_cache(spark, sf_dir), "cache"), path)
     return landed.read_cache_object(spark, path).select(*schemas.CACHE_FIELDS[:6])
 
 

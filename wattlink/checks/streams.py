@@ -9,7 +9,7 @@ from wattlink.checks import addresses, association, geocoding, registry
 from wattlink.checks.fixtures import duck_ctes, spark_view
 from wattlink.operators import geocode as G, views as V
 from wattlink.plans import jobs
-from wattlink.session import scratch_path
+from wattlink.session import scratch_path, stored
 from wattlink.streaming import ingest
 
 
@@ -25,10 +25,11 @@ def stream_ingest(spark, sf_dir):
 def stream_resume(spark, sf_dir):
     """Structured rows land in files, twice; each row key is enriched once."""
     landing, sink, state = (scratch_path(spark, n) for n in ("structured", "geocoded", "state"))
-    rows = addresses.structured(spark, sf_dir).select(*K.STRUCTURED_COLUMNS)
+    named = stored(addresses.structured(spark, sf_dir), "structured")  # three readers
+    rows = named.select(*K.STRUCTURED_COLUMNS)
     rows.repartition(3).write.parquet(landing)
     rows.repartition(3).write.mode("append").parquet(landing)
-    cache = geocoding._cache(spark, sf_dir)
+    cache = stored(geocoding._cache(spark, sf_dir, named), "cache")  # read by every batch
     query = ingest.resume_enrichment(
         spark, landing, sink, state, lambda batch: G.geocode_resolve(batch, cache), max_files=2)
     query.awaitTermination()
