@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wattlink.llm.common import text_blocks
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.json"
-BLOCK_CHARS = 2_000_000
-REMEMBERED = 600_000  # pretokens a worker remembers before it starts over
+BLOCK_CHARS = 500_000
+REMEMBERED = 300_000  # pretokens a worker remembers before it starts over
 LONG = 4096           # bytes from which a pretoken is not remembered
 
 
@@ -200,10 +200,14 @@ class Bpe:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the vocabulary strings of `ids`."""
-        begin = self.spelled_at[ids]
-        size = self.spelled_at[ids + 1] - begin
-        ends = np.cumsum(size)
-        return self.spelled[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)].tobytes()
+        return _spelled(self.spelled, self.spelled_at, ids)
+
+
+def _spelled(spelled: np.ndarray, spelled_at: np.ndarray, ids: np.ndarray) -> bytes:
+    begin = spelled_at[ids]
+    size = spelled_at[ids + 1] - begin
+    ends = np.cumsum(size)
+    return spelled[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)].tobytes()
 
 
 class _Memory(dict):
@@ -256,7 +260,8 @@ def encoded(docs: DataFrame, bpe: Bpe, text: str = "text") -> DataFrame:
 
 def decoded(rows: DataFrame, bpe: Bpe, ids: str = "ids") -> DataFrame:
     """The columns of `rows` and decoded, the text of the ids; null ids decode to an empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(bpe)
+    # decoding workers stand beside the encoding ones: they get the vocabulary strings alone
+    shared = rows.sparkSession.sparkContext.broadcast((bpe.spelled, bpe.spelled_at))
     packed, schema, columns = _beside(rows, ids, "decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +270,7 @@ def decoded(rows: DataFrame, bpe: Bpe, ids: str = "ids") -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.nan_to_num(
                 pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))])
             flat = lists.flatten().to_numpy()
-            texts = [shared.value.decode(flat[x:y]).decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])]
+            texts = [_spelled(*shared.value, flat[x:y]).decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
 
     return packed.mapInArrow(run, schema).select(*columns)
