@@ -113,6 +113,19 @@ def test_a_text_is_left_out_of_its_own_fit():
         assert np.array_equal(M.left_out(s, tally(texts)).view(np.uint32), want.view(np.uint32))
 
 
+def test_starting_weights_are_fitted_on_every_training_row(spark):
+    texts = fixture()[4:] * 2 + ["a text that stands alone"]
+    got = M.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).model
+    counts, total = _tallied(got.code, texts), np.zeros(M.GATES * M.LEVELS**3 * 2, np.int64)
+    for t in texts:
+        s = M.Symbols(got.code, got.code.index(), [t])
+        M.tally_inputs(M.left_out(s, counts), s.bit, total)
+    even = 1 / (1 + np.exp(-(np.arange(M.STEPS) - M.STEPS // 2) / 2))
+    want = M.Model(got.code, got.counters, np.full((M.GATES, 3), 0.35), even)
+    want.fit(total)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.refine, want.refine)
+
+
 def _tallied(code, texts):
     total = np.zeros(2 * code.slots(), np.int64)
     M.Symbols(code, code.index(), texts).tally(total)

@@ -6,7 +6,7 @@ Each decision is predicted by three counters, looked up by the decision alone, b
 hash of the symbol before, and by the decision and a hash of the two symbols before. Their log-odds
 are mixed by weights that a gate picks, the confidence of the two hashed counters; the mixed
 probability is refined by an adaptive map. Weights and map learn online, text by text: they start at
-values fitted on a bounded sample, each of its texts predicted by the counts of all other texts, and
+values fitted on all training texts, each predicted by the counts of all other texts, and
 move after every window of the text. The sum of log-probabilities is the score, in bits per byte too.
 
 Counters are summed over all training texts, at every size, into hashed tables of fixed size. The base score needs the exact count of every token: counts
@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wattlink.llm.common import HashIndex, Words, added_up, as_blobs, text_blocks, thinned, written
+from wattlink.llm.common import HashIndex, Words, added_up, as_blobs, text_blocks, written
 
 HEAD = 1 << 18            # most tokens that travel to the tasks
 TABLE_BITS, BLOB = 20, 1 << 14
-SAMPLE_ROWS = 200         # fit the starting weights
+LEVELS = 33               # of a log-odds in the counts that the starting weights are fitted to, by half log-odds
 BLOCK_CHARS = 500_000
 WINDOWS = (32, 64, 128, 256, 512)  # symbols between updates; the last repeats
 GATES, STEPS = 16, 25     # weight sets; cells of the adaptive map, by half log-odds
@@ -209,15 +209,24 @@ def _gate(x: np.ndarray) -> np.ndarray:
 
 
 def left_out(s: Symbols, counts: np.ndarray) -> np.ndarray:
-    """Inputs of the decisions of a counted text as they are without its own counts."""
-    x = np.empty((3, len(s.node)), np.float32)
+    """Inputs of the decisions of a counted text as they are without its own counts. `counts` is as before afterwards."""
+    x, flat = np.empty((3, len(s.node)), np.float32), counts.reshape(-1)
     for row, slot in zip(x, (s.node, s.slot1, s.slot2)):
-        met, at = np.unique(slot, return_inverse=True)
-        own = np.stack([np.bincount(at, weights=s.bit == b, minlength=len(met)) for b in (0, 1)], axis=1)
-        row[:] = encoded(counts[met] - own.astype(np.int64))[at]
+        at = slot * np.int32(2) + s.bit
+        np.subtract.at(flat, at, 1)
+        row[:] = encoded(counts[slot])
+        np.add.at(flat, at, 1)
     return x
 
 
+def tally_inputs(x: np.ndarray, bit: np.ndarray, total: np.ndarray) -> None:
+    """Add decisions to `total` by gate, the three log-odds to the next half, and bit."""
+    cell = _gate(x)
+    for row in x:
+        cell = cell * LEVELS + np.clip(np.rint(2 * row).astype(np.int32) + LEVELS // 2, 0, LEVELS - 1)
+    np.add.at(total, cell * 2 + bit, 1)
+
+
 @dataclass
 class Model:
     code: Code
@@ -231,23 +240,27 @@ class Model:
             np.take(self.counters, slot, out=row, mode="clip")
         return x, _gate(x)
 
-    def fit(self, x: np.ndarray, bit: np.ndarray) -> None:
-        """Starting weights by Newton steps for each gate, and the starting map."""
-        gate, y = _gate(x), bit.astype(np.float64)
-        z = np.zeros(len(y))
+    def fit(self, total: np.ndarray) -> None:
+        """Starting weights by Newton steps for each gate, and the starting map, from `tally_inputs` of all decisions."""
+        counts = total.reshape(-1, 2)
+        met = np.flatnonzero(counts.any(axis=1))
+        seen, ones = counts[met].sum(axis=1).astype(np.float64), counts[met, 1].astype(np.float64)
+        gate, *at = np.unravel_index(met, (GATES, LEVELS, LEVELS, LEVELS))
+        x = (np.stack(at) - LEVELS // 2) / 2
+        z = np.zeros(len(met))
         for g in range(GATES):
             own = np.flatnonzero(gate == g)
-            a, w = x[:, own].astype(np.float64), self.weights[g].astype(np.float64)
+            a, n, y, w = x[:, own], seen[own], ones[own], self.weights[g].astype(np.float64)
             start = w.copy()
             for _ in range(8):
                 p = 1 / (1 + np.exp(-np.clip(w @ a, -30, 30)))
-                slope = a @ (y[own] - p) - 10.0 * (w - start)
-                w = np.clip(w + np.linalg.solve((a * (p * (1 - p))) @ a.T + 10.0 * np.eye(3), slope), -1.0, 2.0)
+                slope = a @ (y - n * p) - 10.0 * (w - start)
+                w = np.clip(w + np.linalg.solve((a * (n * p * (1 - p))) @ a.T + 10.0 * np.eye(3), slope), -1.0, 2.0)
             self.weights[g] = w
             z[own] = w @ a
         cell = _cell(z)
-        seen, ones = np.bincount(cell, minlength=STEPS), np.bincount(cell, weights=y, minlength=STEPS)
-        self.refine = (ones + PRIOR * self.refine) / (seen + PRIOR)
+        n, k = (np.bincount(cell, weights=v, minlength=STEPS) for v in (seen, ones))
+        self.refine = (k + PRIOR * self.refine) / (n + PRIOR)
 
     def score(self, s: Symbols, n_texts: int) -> np.ndarray:
         """Natural log-probability of each text."""
@@ -352,12 +365,6 @@ def train(docs: DataFrame) -> Trained:
     code = Code.build(head, int(spelled[256]), spelled)
     shared = spark.sparkContext.broadcast(code)
 
-    # rows in the order of a hash; the first few fit the weights
-    keyed = docs.select("text", F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]).alias("h"))
-    ends = counts.where("token = ''").select("c").first()  # one end per row
-    few = thinned(keyed, ends["c"] if ends else 0, SAMPLE_ROWS, "h")
-    sample = [r["text"] for r in few.orderBy("h", "text").limit(SAMPLE_ROWS).select("text").collect()]
-
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, slots = shared.value, shared.value.slots()
         index, total = code.index(), np.zeros(2 * slots, np.int64)
@@ -369,18 +376,33 @@ def train(docs: DataFrame) -> Trained:
         for a in range(0, len(blobs), 16):
             yield _binary_rows([p for p, _ in blobs[a:a + 16]], [c for _, c in blobs[a:a + 16]])
 
-    summed = np.zeros((code.slots(), 2), np.int64)
-    flat = summed.reshape(-1)
+    def gathered(partials: DataFrame, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        for row in added_up(partials).toLocalIterator():
+            values = np.frombuffer(row["counts"], np.int64)
+            out[row["part"] * BLOB:][:len(values)] = values
+        return out
+
     # fixed size: sixteen bytes for each slot of the tables
-    for row in added_up(docs.select("text").mapInArrow(tally, "part long, counts binary")).toLocalIterator():
-        values = np.frombuffer(row["counts"], np.int64)
-        flat[row["part"] * BLOB:][:len(values)] = values
+    summed = gathered(docs.select("text").mapInArrow(tally, "part long, counts binary"), 2 * code.slots()).reshape(-1, 2)
     even = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
     model = Model(code, encoded(summed), np.full((GATES, 3), 0.35), even)
-    if sample:
-        index = code.index()
-        apart = [Symbols(code, index, [t]) for t in sample]
-        model.fit(np.concatenate([left_out(s, summed) for s in apart], axis=1), np.concatenate([s.bit for s in apart]))
+    known = spark.sparkContext.broadcast(summed)
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, counts = shared.value, known.value  # a text's own counts are taken out and put back
+        index, total = code.index(), np.zeros(GATES * LEVELS**3 * 2, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                s = Symbols(code, index, [t])
+                tally_inputs(left_out(s, counts), s.bit, total)
+        blobs = list(as_blobs(total, BLOB))
+        for a in range(0, len(blobs), 16):
+            yield _binary_rows([p for p, _ in blobs[a:a + 16]], [c for _, c in blobs[a:a + 16]])
+
+    # fixed size too: the cells of all gates
+    model.fit(gathered(docs.select("text").mapInArrow(inputs, "part long, counts binary"), GATES * LEVELS**3 * 2))
+    known.unpersist()
     return Trained(model, counts, n or 0, v or 0, least)
 
 
