@@ -102,6 +102,26 @@ def test_dense_sites_are_met_as_short_lists(spark, radius, monkeypatch):
     assert sum(carried) < 30  # of 300 points, asked twice
 
 
+def test_crowded_parts_and_pieces_of_lists(spark, monkeypatch):
+    """Many probes of one cell in several parts, a list in several rows, few products at once: same result, one pair a probe."""
+    for name, value in (("DEALT", 7), ("LISTED", 3), ("MET", 50), ("CELL_SITES", 20)):
+        monkeypatch.setattr(nearest, name, value)
+    met, pairs = nearest._met, []
+
+    def counted(*args):
+        pairs.append(met(*args))
+        return pairs[-1]
+
+    monkeypatch.setattr(nearest, "_met", counted)
+    rng = random.Random(8)
+    points = [(i, *xy) for i, xy in enumerate(scatter(rng, 300, 102.0, 25.0, 1e-2) + scatter(rng, 200, 102.0, 25.0, 0.4))]
+    sites = [(i, f"n{i % 90:03d}", *xy) for i, xy in enumerate(scatter(rng, 700, 102.0, 25.0, 0.45))]
+    p, s = frames(spark, points, sites)
+    for strategy in ("auto", "shuffle"):
+        assert found(nearest.nearest_within(p, s, 10.0, strategy)) == brute(points, sites, 10.0)
+    assert len(pairs) == 2 and all(df.count() <= 500 for df in pairs)
+
+
 def test_unusable_radius(spark, case):
     p, s = frames(spark, *case)
     for radius in (math.nan, -1.0, None):
