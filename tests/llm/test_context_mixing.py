@@ -145,3 +145,22 @@ def test_nothing_to_learn_from(spark):
     got = M.scored(docs, trained, F.lit(True)).collect()
     assert [r["base_score"] for r in got] == [0.0, 0.0] and all(r["score"] < 0 and r["train_tokens"] == 0 for r in got)
     assert M.scored(docs.limit(0), trained, F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+def test_texts_are_left_out_together(kind):
+    """Of several texts at once, each without its own counts, small and large; order of the texts, not of windows."""
+    rng = random.Random(6)
+    texts = [None, "", *[" ".join(rng.choice(["the", "of", "ofyz", "odd"]) for _ in range(rng.choice([3, 40, 900]))) for _ in range(9)]]
+    counted: Counter = Counter(w for t in texts for w in M.tokens(t))
+    code = M.Code.build(sorted(counted.items(), key=lambda p: (-p[1], p[0]))[:3], 1, np.ones(257, np.int64))
+    counts = _tallied(code, texts).astype(kind)
+    before = counts.copy()
+    together = M.Symbols(code, code.index(), texts, windows=False)
+    got = M.left_out(together, counts)
+    assert np.array_equal(counts, before) and before.max() > 2 * M.SMALL
+    for k, t in enumerate(texts):
+        alone = M.Symbols(code, code.index(), [t], windows=False)
+        others = M.encoded(before - _tallied(code, [t]))
+        want = np.stack([others[slot] for slot in (alone.node, alone.slot1, alone.slot2)])
+        assert np.array_equal(got[:, together.doc == k].view(np.uint32), want.view(np.uint32))

@@ -35,6 +35,8 @@ HEAD = 1 << 18            # most tokens that travel to the tasks
 TABLE_BITS, BLOB = 20, 1 << 14
 LEVELS = 33               # of a log-odds in the counts that the starting weights are fitted to, by half log-odds
 BLOCK_CHARS = 500_000
+COUNT_CHARS = 60_000      # texts counted together: arrays that stay in a processor's cache
+SMALL = 256               # counts below it, a power of two, have their log-odds in a table
 WINDOWS = (32, 64, 128, 256, 512)  # symbols between updates; the last repeats
 GATES, STEPS = 16, 25     # weight sets; cells of the adaptive map, by half log-odds
 RATE, DAMP, PRIOR = 0.3, 32.0, 20.0
@@ -117,9 +119,10 @@ class Code:
 
 
 class Symbols:
-    """The symbol stream of a run of texts, in windows: all texts' first windows, then all second ones."""
+    """The symbol stream of a run of texts, in windows: all texts' first windows, then all second ones. Without
+    `windows`, text after text."""
 
-    def __init__(self, code: Code, index: HashIndex, texts: list):
+    def __init__(self, code: Code, index: HashIndex, texts: list, windows: bool = True):
         w = Words(texts)
         self.n_bytes = w.sizes
         n_words = np.diff(w.first)
@@ -148,18 +151,20 @@ class Symbols:
         begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         back, earlier = [], symbol
         for _ in range(4):  # the symbols one to four before, the beginning of the text before all
-            earlier = np.concatenate([[code.escape + 258], earlier[:-1]])
+            earlier = np.concatenate([np.full(1, code.escape + 258, np.int32), earlier[:-1]])
             earlier[begin] = code.escape + 258
             back.append(earlier)
-        n = np.bincount(doc, minlength=len(texts))
-        position = np.arange(len(symbol)) - np.repeat(np.cumsum(n) - n, n)
-        edges = np.cumsum(WINDOWS)
-        window = np.where(position < edges[-1], np.searchsorted(edges, position, side="right"),
-                          len(WINDOWS) + (position - edges[-1]) // WINDOWS[-1])
-        order = np.argsort(window.astype(np.uint16) if window.max(initial=0) < 1 << 16 else window, kind="stable")
-        self.window = window[order]
-        symbol, doc = symbol[order], doc[order].astype(np.int32)
-        one, two, three, four = (x[order].astype(np.uint32) for x in back)
+        doc = doc.astype(np.int32)
+        one, two, three, four = (x.view(np.uint32) for x in back)
+        if windows:
+            n = np.bincount(doc, minlength=len(texts))
+            position = np.arange(len(symbol)) - np.repeat(np.cumsum(n) - n, n)
+            edges = np.cumsum(WINDOWS)
+            window = np.where(position < edges[-1], np.searchsorted(edges, position, side="right"),
+                              len(WINDOWS) + (position - edges[-1]) // WINDOWS[-1])
+            order = np.argsort(window.astype(np.uint16) if window.max(initial=0) < 1 << 16 else window, kind="stable")
+            self.window = window[order]
+            symbol, doc, one, two, three, four = (x[order] for x in (symbol, doc, one, two, three, four))
         # a spelled byte looks at two and at four symbols before, a token at one and at two
         pair = (one * np.uint32(0x9E3779B1) + np.uint32(1)) ^ (two * np.uint32(0x85EBCA77))
         deep = (pair * np.uint32(0xC2B2AE3D)) ^ (three * np.uint32(0x27D4EB2F)) ^ (four * np.uint32(0x165667B1))
@@ -174,6 +179,8 @@ class Symbols:
         salt = self.node.view(np.uint32) * np.uint32(0xD6E8FEB9)
         self.slot1 = _slot(np.repeat(near, width), salt) + np.int32(code.n_nodes)
         self.slot2 = _slot(np.repeat(far, width), salt) + np.int32(code.n_nodes + (1 << TABLE_BITS))
+        if not windows:
+            return
         last = np.flatnonzero(np.concatenate([self.window[1:] != self.window[:-1], [True]])) if len(symbol) else np.zeros(0, np.int64)
         self.cuts = [0, *ends[last].tolist()]
 
@@ -186,7 +193,7 @@ class Symbols:
     def tally(self, total: np.ndarray) -> None:
         """Add the zeros and ones of each slot to `total`, at 2 * slot + bit."""
         for slot in (self.node, self.slot1, self.slot2):
-            np.add.at(total, slot * np.int32(2) + self.bit, 1)
+            np.add.at(total, slot.astype(np.int64) * 2 + self.bit, 1)
 
 
 def _slot(context: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -208,23 +215,53 @@ def _gate(x: np.ndarray) -> np.ndarray:
     return (((bits[1] & 3) << 2) | (bits[2] & 3)).view(np.int32)
 
 
+_small: np.ndarray | None = None
+
+
+def encoded_pairs(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """`encoded` of whole counts of zeros and ones, small ones out of a table."""
+    global _small
+    if _small is None:
+        _small = encoded(np.stack(np.divmod(np.arange(SMALL * SMALL), SMALL), axis=1))
+    large = np.flatnonzero((zeros | ones) >= SMALL)  # their sum is large enough for the highest trust
+    z, o = zeros[large], ones[large]
+    at = zeros * SMALL + ones
+    at[large] = 0
+    out = np.take(_small, at, mode="clip")
+    odds = np.clip(np.log((o + 0.4) / (z + 0.4)), -_LIMIT, _LIMIT).astype(np.float32)
+    out[large] = (odds.view(np.uint32) | np.uint32(3)).view(np.float32)
+    return out
+
+
 def left_out(s: Symbols, counts: np.ndarray) -> np.ndarray:
-    """Inputs of the decisions of a counted text as they are without its own counts. `counts` is as before afterwards."""
-    x, flat = np.empty((3, len(s.node)), np.float32), counts.reshape(-1)
-    for row, slot in zip(x, (s.node, s.slot1, s.slot2)):
-        at = slot * np.int32(2) + s.bit
-        np.subtract.at(flat, at, 1)
-        row[:] = encoded(counts[slot])
-        np.add.at(flat, at, 1)
-    return x
+    """Inputs of the decisions of counted texts, one after another in `s`, each as they are without the text's own
+    counts. `counts` is as before afterwards."""
+    zeros, ones = np.empty((2, 3, len(s.node)), np.int64)
+    flat, one = counts.reshape(-1), counts.dtype.type(1)
+    pairs = counts.view(np.int64).reshape(-1) if counts.dtype == np.int32 else None  # a look at both counts of a slot
+    edges = np.searchsorted(s.doc, np.arange(len(s.n_tokens) + 1)).tolist()
+    for k, slot in enumerate((s.node, s.slot1, s.slot2)):
+        slot = slot.astype(np.int64)
+        own = 2 * slot + s.bit
+        for a, b in zip(edges[:-1], edges[1:]):
+            np.subtract.at(flat, own[a:b], one)
+            if pairs is None:
+                zeros[k, a:b], ones[k, a:b] = counts[slot[a:b]].T
+            else:
+                np.take(pairs, slot[a:b], out=zeros[k, a:b], mode="clip")
+            np.add.at(flat, own[a:b], one)
+    if pairs is not None:
+        np.right_shift(zeros, 32, out=ones)
+        zeros &= 0xFFFFFFFF
+    return np.stack([encoded_pairs(z, o) for z, o in zip(zeros, ones)])
 
 
 def tally_inputs(x: np.ndarray, bit: np.ndarray, total: np.ndarray) -> None:
     """Add decisions to `total` by gate, the three log-odds to the next half, and bit."""
     cell = _gate(x)
     for row in x:
-        cell = cell * LEVELS + np.clip(np.rint(2 * row).astype(np.int32) + LEVELS // 2, 0, LEVELS - 1)
-    np.add.at(total, cell * 2 + bit, 1)
+        cell = cell * np.int32(LEVELS) + np.rint(2 * np.clip(row, -_LIMIT, _LIMIT)).astype(np.int32) + np.int32(LEVELS // 2)
+    np.add.at(total, cell.astype(np.int64) * 2 + bit, 1)
 
 
 @dataclass
@@ -370,8 +407,8 @@ def train(docs: DataFrame) -> Trained:
         index, total = code.index(), np.zeros(2 * slots, np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for begin, end in text_blocks(texts, BLOCK_CHARS):
-                Symbols(code, index, texts[begin:end]).tally(total)
+            for begin, end in text_blocks(texts, COUNT_CHARS):
+                Symbols(code, index, texts[begin:end], windows=False).tally(total)
         blobs = list(as_blobs(total, BLOB))
         for a in range(0, len(blobs), 16):
             yield _binary_rows([p for p, _ in blobs[a:a + 16]], [c for _, c in blobs[a:a + 16]])
@@ -387,14 +424,15 @@ def train(docs: DataFrame) -> Trained:
     summed = gathered(docs.select("text").mapInArrow(tally, "part long, counts binary"), 2 * code.slots()).reshape(-1, 2)
     even = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
     model = Model(code, encoded(summed), np.full((GATES, 3), 0.35), even)
-    known = spark.sparkContext.broadcast(summed)
+    known = spark.sparkContext.broadcast(summed.astype(np.int32) if summed.max(initial=0) < 1 << 31 else summed)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, counts = shared.value, known.value  # a text's own counts are taken out and put back
         index, total = code.index(), np.zeros(GATES * LEVELS**3 * 2, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = Symbols(code, index, [t])
+            texts = b.column(0).to_pylist()
+            for begin, end in text_blocks(texts, COUNT_CHARS):
+                s = Symbols(code, index, texts[begin:end], windows=False)
                 tally_inputs(left_out(s, counts), s.bit, total)
         blobs = list(as_blobs(total, BLOB))
         for a in range(0, len(blobs), 16):
