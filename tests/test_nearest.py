@@ -122,6 +122,25 @@ def test_crowded_parts_and_pieces_of_lists(spark, monkeypatch):
     assert len(pairs) == 2 and all(df.count() <= 500 for df in pairs)
 
 
+def test_a_site_is_listed_in_few_cells(spark, monkeypatch):
+    """Lists leave out sites that are farther from all probes of a cell than one of its own: as dense sites grow, so do the lists."""
+    monkeypatch.setattr(nearest, "CELL_SITES", 60)
+    met, listed = nearest._met, []
+
+    def counted(probes, lists, *rest):
+        listed.append(lists.agg(F.sum(F.size("sites"))).first()[0])
+        return met(probes, lists, *rest)
+
+    monkeypatch.setattr(nearest, "_met", counted)
+    rng = random.Random(9)
+    points = [(i, *xy) for i, xy in enumerate(scatter(rng, 600, 102.0, 25.0, 0.4))]
+    for n in (250, 1000):
+        sites = [(i, f"n{i % 90:03d}", *xy) for i, xy in enumerate(scatter(rng, n, 102.0, 25.0, 0.4))]
+        p, s = frames(spark, points, sites)
+        assert found(nearest.nearest_within(p, s, 10.0)) == brute(points, sites, 10.0)
+        assert listed.pop() <= 8 * n
+
+
 def test_unusable_radius(spark, case):
     p, s = frames(spark, *case)
     for radius in (math.nan, -1.0, None):
