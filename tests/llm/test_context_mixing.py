@@ -185,3 +185,42 @@ def test_counts_from_a_broadcast_are_changed_as_fast_as_own_ones(kind):
     assert M.plain(sent).dtype is np.dtype(kind) and np.shares_memory(M.plain(sent), sent)
     assert np.array_equal(M.left_out(s, sent).view(np.uint32), M.left_out(s, own).view(np.uint32))
     assert min(seconds(sent) for _ in range(5)) < 2.5 * min(seconds(own) for _ in range(5))
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+def test_cells_of_the_fit_are_those_of_the_inputs(kind):
+    """Counted in one step without the log-odds, the fit meets the same cells; counts small, large and left at zero."""
+    rng = random.Random(8)
+    texts = [None, *[" ".join(rng.choice(["the", "of", "ofyz", f"odd{rng.randrange(99)}"]) for _ in range(rng.choice([3, 40, 900]))) for _ in range(12)]]
+    counted: Counter = Counter(w for t in texts for w in M.tokens(t))
+    code = M.Code.build(sorted(counted.items(), key=lambda p: (-p[1], p[0]))[:3], 1, np.ones(257, np.int64))
+    counts = _tallied(code, texts).astype(kind)
+    before, s = counts.copy(), M.Symbols(code, code.index(), texts, windows=False)
+    want, got = np.zeros((2, M.GATES * M.LEVELS**3 * 2), np.int64)
+    M.tally_inputs(M.left_out(s, counts), s.bit, want)
+    M.tally_left_out(s, counts, got)
+    assert np.array_equal(got, want) and np.array_equal(counts, before) and want.sum() == len(s.node)
+
+
+def test_packed_counts_are_those_of_every_decision():
+    """Nodes counted by symbol and contexts in halves of one number, decision by decision the same."""
+    texts = ["the of thex the", None, "of of thex rare", "the ofyz the the"]
+    code = M.Code.build([(b"the", 5), (b"", 4), (b"of", 3)], 3, np.ones(257, np.int64))
+    for windows in (True, False):
+        s, want = M.Symbols(code, code.index(), texts, windows=windows), np.zeros(2 * code.slots(), np.int64)
+        for slot in (s.node, s.slot1, s.slot2):
+            np.add.at(want, slot.astype(np.int64) * 2 + s.bit, 1)
+        got = np.zeros_like(want)
+        s.tally(got)
+        s.tally(got)
+        assert np.array_equal(got, 2 * want)
+    total = np.zeros(4, np.int64)
+    M.unpack(np.array([(7 << 32) + (1 << 31), (1 << 30) << 32]), total)  # a half holds more than 2^31 zeros
+    assert total.tolist() == [1 << 31, 7, 0, 1 << 30]
+
+
+def test_token_counts_of_odd_texts(spark):
+    texts = [None, "", " \n\t\x0b ", "A\tb\x0bé x À\r\nZ", "a", *["b é x"] * 7]
+    got = {r["token"].encode(): r["c"] for r in M.token_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == Counter(w for t in texts for w in M.tokens(t))
+    assert M.token_counts(spark.createDataFrame([], "text string")).count() == 0

@@ -128,6 +128,14 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hash(prefix_hash(_BYTE_VALUES[self.data]), self.begin, self.end)
 
+    def strings(self) -> pa.Array:
+        """The words in order."""
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.begin], inside[self.end] = 1, -1
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.begin)]).astype(np.int32)
+        spelled = self.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        return pa.StringArray.from_buffers(len(self.begin), pa.py_buffer(offsets), pa.py_buffer(spelled))
+
 
 class HashIndex:
     """Places of known 64-bit keys."""

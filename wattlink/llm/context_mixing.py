@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +33,9 @@ from wattlink.llm.common import HashIndex, Words, added_up, as_blobs, text_block
 HEAD = 1 << 18            # most tokens that travel to the tasks
 TABLE_BITS, BLOB = 20, 1 << 14
 LEVELS = 33               # of a log-odds in the counts that the starting weights are fitted to, by half log-odds
-BLOCK_CHARS = 500_000
-COUNT_CHARS = 60_000      # texts counted together: arrays that stay in a processor's cache
+BLOCK_CHARS = 250_000
+TOKEN_CHARS = 1_000_000   # texts whose tokens are counted together
+COUNT_CHARS = 120_000     # texts counted together: arrays that stay in a processor's cache
 SMALL = 256               # counts below it, a power of two, have their log-odds in a table
 WINDOWS = (32, 64, 128, 256, 512)  # symbols between updates; the last repeats
 GATES, STEPS = 16, 25     # weight sets; cells of the adaptive map, by half log-odds
@@ -87,6 +87,7 @@ class Code:
     path_node: np.ndarray
     path_bit: np.ndarray
     n_nodes: int
+    _index: HashIndex | None = None  # made once in each process that asks
 
     @classmethod
     def build(cls, head: list[tuple[bytes, int]], escaped: int, byte_counts: np.ndarray) -> Code:
@@ -107,11 +108,19 @@ class Code:
         return self.head.index(b"") if b"" in self.head else -1
 
     def index(self) -> HashIndex:
-        # a word of the head is one run of bytes without blanks; the end, which is empty, is no word
-        hashes = np.zeros(len(self.head), np.uint64)
-        w = Words([t.decode("utf-8", "surrogatepass") for t in self.head])
-        hashes[w.doc] = w.hashes()
-        return HashIndex(hashes)
+        if self._index is None:
+            # a word of the head is one run of bytes without blanks; the end, which is empty, is no word
+            hashes = np.zeros(len(self.head), np.uint64)
+            w = Words([t.decode("utf-8", "surrogatepass") for t in self.head])
+            hashes[w.doc] = w.hashes()
+            self._index = HashIndex(hashes)
+        return self._index
+
+    def tally(self, n: np.ndarray, total: np.ndarray) -> None:
+        """Add the zeros and ones of each node to `total`, at 2 * node + bit, for `n` of each symbol."""
+        depth = np.diff(self.path_at)[:len(n)]
+        path = slice(0, int(depth.sum()))
+        np.add.at(total, self.path_node[path].astype(np.int64) * 2 + self.path_bit[path], np.repeat(n, depth))
 
     def slots(self) -> int:
         """Size of the three counter tables together."""
@@ -171,14 +180,16 @@ class Symbols:
         spelled = symbol > code.escape
         near, far = np.where(spelled, pair, one * np.uint32(0x9E3779B1)), np.where(spelled, deep, pair)
         # decisions of every symbol
-        width = code.path_at[symbol + 1] - code.path_at[symbol]
+        self.code, self.symbol, at = code, symbol, code.path_at[symbol]
+        width = code.path_at[symbol + 1] - at
         ends = np.cumsum(width)
-        take = np.repeat((code.path_at[symbol] - (ends - width)).astype(np.int32), width) + np.arange(int(width.sum()), dtype=np.int32)
-        self.node, self.bit = code.path_node[take], code.path_bit[take]
+        take = np.repeat(at - (ends - width), width)
+        take += np.arange(len(take))
+        self.node, self.bit = (np.take(path, take, mode="clip") for path in (code.path_node, code.path_bit))
         self.doc = np.repeat(doc, width)
         salt = self.node.view(np.uint32) * np.uint32(0xD6E8FEB9)
-        self.slot1 = _slot(np.repeat(near, width), salt) + np.int32(code.n_nodes)
-        self.slot2 = _slot(np.repeat(far, width), salt) + np.int32(code.n_nodes + (1 << TABLE_BITS))
+        self.slot1 = _slot(np.repeat(near, width), salt, code.n_nodes)
+        self.slot2 = _slot(np.repeat(far, width), salt, code.n_nodes + (1 << TABLE_BITS))
         if not windows:
             return
         last = np.flatnonzero(np.concatenate([self.window[1:] != self.window[:-1], [True]])) if len(symbol) else np.zeros(0, np.int64)
@@ -192,15 +203,34 @@ class Symbols:
 
     def tally(self, total: np.ndarray) -> None:
         """Add the zeros and ones of each slot to `total`, at 2 * slot + bit."""
-        for slot in (self.node, self.slot1, self.slot2):
-            np.add.at(total, slot.astype(np.int64) * 2 + self.bit, 1)
+        self.code.tally(np.bincount(self.symbol), total)
+        packed = np.zeros(len(total) // 2, np.int64)
+        self.tally_contexts(packed)
+        unpack(packed, total)
 
+    def tally_contexts(self, packed: np.ndarray) -> None:
+        """The part of `tally` that the symbols' numbers alone do not tell, to one number for each slot."""
+        one = np.take(_ONE, self.bit)
+        for slot in (self.slot1, self.slot2):
+            np.add.at(packed, slot, one)
 
-def _slot(context: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    x = (context ^ salt) * np.uint32(0x85EBCA6B)
+
+_ONE = np.array([1, 1 << 32])  # zeros are counted in the lower half of a number, ones in the upper one
+
+
+def unpack(packed: np.ndarray, total: np.ndarray) -> None:
+    total[0::2] += packed & 0xFFFFFFFF
+    total[1::2] += packed >> 32
+
+
+def _slot(context: np.ndarray, salt: np.ndarray, first: int) -> np.ndarray:
+    x = context  # is changed: arrays of this length are better used again than made
+    x ^= salt
+    x *= np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0xC2B2AE35)
-    return (x >> np.uint32(32 - TABLE_BITS)).view(np.int32)
+    x >>= np.uint32(32 - TABLE_BITS)
+    return np.add(x, first, dtype=np.int64)
 
 
 def encoded(c: np.ndarray) -> np.ndarray:
@@ -239,28 +269,56 @@ def plain(a: np.ndarray) -> np.ndarray:
     return a.view(a.dtype.type)
 
 
-def left_out(s: Symbols, counts: np.ndarray) -> np.ndarray:
-    """Inputs of the decisions of counted texts, one after another in `s`, each as they are without the text's own
-    counts. `counts` is as before afterwards."""
-    zeros, ones = np.empty((2, 3, len(s.node)), np.int64)
-    counts = plain(counts)
-    flat, one = counts.reshape(-1), counts.dtype.type(1)
-    pairs = counts.view(np.int64).reshape(-1) if counts.dtype == np.int32 else None  # a look at both counts of a slot
+def without_own(s: Symbols, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """For each of the three slots, rows of zeros and ones of the decisions of counted texts, one after another in `s`, as
+    they are without the text's own counts. `counts` is as before afterwards."""
+    packed = counts.dtype == np.int32  # both counts of a slot are then one number, little end first
+    flat = counts.view(np.int64).reshape(-1) if packed else plain(counts).reshape(-1)
+    one = np.take(_ONE, s.bit) if packed else np.ones(len(s.bit), np.int64)
     edges = np.searchsorted(s.doc, np.arange(len(s.n_tokens) + 1)).tolist()
-    for k, slot in enumerate((s.node, s.slot1, s.slot2)):
-        slot = slot.astype(np.int64)
-        own = 2 * slot + s.bit
+    for slot in (s.node.astype(np.int64), s.slot1, s.slot2):
+        own = slot if packed else 2 * slot + s.bit
+        left = np.empty((len(slot), 2), counts.dtype)
+        looked, out = (flat, left.view(np.int64).reshape(-1)) if packed else (counts, left)
         for a, b in zip(edges[:-1], edges[1:]):
-            np.subtract.at(flat, own[a:b], one)
-            if pairs is None:
-                zeros[k, a:b], ones[k, a:b] = counts[slot[a:b]].T
-            else:
-                np.take(pairs, slot[a:b], out=zeros[k, a:b], mode="clip")
-            np.add.at(flat, own[a:b], one)
-    if pairs is not None:
-        np.right_shift(zeros, 32, out=ones)
-        zeros &= 0xFFFFFFFF
-    return np.stack([encoded_pairs(z, o) for z, o in zip(zeros, ones)])
+            np.subtract.at(flat, own[a:b], one[a:b])
+            np.take(looked, slot[a:b], axis=0, out=out[a:b], mode="clip")
+            np.add.at(flat, own[a:b], one[a:b])
+        yield left
+
+
+def left_out(s: Symbols, counts: np.ndarray) -> np.ndarray:
+    """Inputs of the decisions of counted texts, each as they are without the text's own counts."""
+    return np.stack([encoded_pairs(*left.T) for left in without_own(s, counts)])
+
+
+def tally_left_out(s: Symbols, counts: np.ndarray, total: np.ndarray) -> None:
+    """What `tally_inputs` adds for `left_out`, without the log-odds themselves where their next half is clear."""
+    gate, cell = (np.zeros(len(s.node), np.float32) for _ in range(2))  # whole numbers below 2^24
+    for k, left in enumerate(without_own(s, counts)):
+        c = left.astype(np.float32)
+        c += np.float32(0.4)
+        if k:
+            seen = c[:, 0] + c[:, 1]  # the counts and 0.8
+            gate *= np.float32(4)
+            for least in (1, 4, 32):
+                gate += seen > np.float32(least + 0.5)
+        twice = c[:, 1] / c[:, 0]
+        np.log(twice, out=twice)
+        twice *= np.float32(2)
+        half = np.rint(twice)
+        twice -= half
+        near = np.flatnonzero(np.abs(twice, out=twice) > np.float32(0.4999))  # single precision does not tell
+        half[near] = np.rint(2 * encoded_pairs(*left[near].T))
+        np.clip(half, -(LEVELS // 2), LEVELS // 2, out=half)
+        cell *= np.float32(LEVELS)
+        cell += half
+        cell += np.float32(LEVELS // 2)
+    gate *= np.float32(LEVELS**3)
+    cell += gate
+    cell *= np.float32(2)
+    cell += s.bit
+    np.add.at(total, cell.astype(np.int64), 1)
 
 
 def tally_inputs(x: np.ndarray, bit: np.ndarray, total: np.ndarray) -> None:
@@ -312,17 +370,31 @@ class Model:
         w = [np.tile(self.weights[:, k].astype(np.float32), n_texts) for k in range(3)]
         n_map, ones_map = np.full(n_texts * STEPS, PRIOR), np.tile(self.refine * PRIOR, n_texts)
         one = np.float32(1)
-        out = np.zeros(n_texts)
+        out, texts = np.zeros(n_texts), np.arange(n_texts + 1, dtype=np.int32)
         for k, (a, b) in enumerate(zip(s.cuts[:-1], s.cuts[1:])):
             doc, y = s.doc[a:b], s.bit[a:b]
-            own = doc * np.int32(GATES) + gate[a:b]
+            own = doc.astype(np.intp)
+            cell = own * STEPS
+            own *= GATES
+            own += gate[a:b]
             part = x[:, a:b]
-            z = w[0][own] * part[0] + w[1][own] * part[1] + w[2][own] * part[2]
-            p = one / (one + np.exp(-z))
-            cell = doc * np.int32(STEPS) + _cell(z)
-            final = (p + (ones_map / n_map).astype(np.float32)[cell]) * np.float32(0.5)
-            final = np.clip(np.where(y, final, one - final), np.float32(1e-6), one)
-            out += np.bincount(doc, weights=np.log(final), minlength=n_texts)
+            z = np.take(w[0], own, mode="clip") * part[0]
+            for i in (1, 2):
+                more = np.take(w[i], own, mode="clip")
+                more *= part[i]
+                z += more
+            cell += _cell(z)
+            p = np.exp(np.negative(z, out=z), out=z)
+            p += one
+            np.divide(one, p, out=p)
+            final = np.take((ones_map / n_map).astype(np.float32), cell, mode="clip")
+            final += p
+            final *= np.float32(0.5)
+            final -= y ^ 1  # of a zero the probability left
+            np.clip(np.abs(final, out=final), np.float32(1e-6), one, out=final)
+            edges = np.searchsorted(doc, texts)
+            some = np.flatnonzero(edges[1:] > edges[:-1])
+            out[some] += np.add.reduceat(np.log(final, out=final), edges[some], dtype=np.float64)
             if b == s.cuts[-1]:
                 break
             # what this window teaches holds from the next one on, for the texts that have one
@@ -332,8 +404,11 @@ class Model:
             step = RATE / (np.bincount(own, minlength=len(w[0])) + DAMP)
             for i in range(3):
                 w[i] += (step * np.bincount(own, weights=wrong * part[i], minlength=len(w[0]))).astype(np.float32)
-            n_map += np.bincount(cell, minlength=len(n_map))
-            ones_map += np.bincount(cell, weights=y, minlength=len(n_map))
+            cell *= 2
+            cell += y
+            seen = np.bincount(cell, minlength=2 * len(n_map)).reshape(-1, 2)
+            n_map += seen.sum(axis=1)
+            ones_map += seen[:, 1]
         return out
 
 
@@ -344,19 +419,25 @@ def _cell(z: np.ndarray) -> np.ndarray:
 def token_counts(texts: DataFrame) -> DataFrame:
     """token (the empty string is the end), c: occurrences in column `text`."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: Counter = Counter()
+        held, rows = [], 0
 
-        def out() -> pa.RecordBatch:
-            words = pa.array(list(counted.keys()), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(counted.values()), pa.int64())], ["token", "c"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("token").aggregate([("c", "sum")]).select(["token", "c_sum"]).rename_columns(["token", "c"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counted.update(tokens(t))
-                if len(counted) > 300_000:  # bounds the task's memory; the sums meet in the shuffle
-                    yield out()
-                    counted.clear()
-        yield out()
+            texts = b.column(0).to_pylist()
+            for begin, end in text_blocks(texts, TOKEN_CHARS):
+                found = Words(texts[begin:end]).strings().value_counts()
+                ends = pa.table({"token": [""], "c": [end - begin]})
+                held += [pa.table({"token": found.field("values"), "c": found.field("counts")}), ends]
+                rows += len(found) + 1
+                if rows > 1_000_000:  # bounds the task's memory; the sums meet in the shuffle
+                    held = [summed()]
+                    if (rows := len(held[0])) > 300_000:
+                        yield from held[0].to_batches(50_000)
+                        held, rows = [], 0
+        if held:
+            yield from summed().to_batches(50_000)
 
     return texts.select("text").mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -411,11 +492,19 @@ def train(docs: DataFrame) -> Trained:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, slots = shared.value, shared.value.slots()
-        index, total = code.index(), np.zeros(2 * slots, np.int64)
+        index, total, n = code.index(), np.zeros(2 * slots, np.int64), np.zeros(len(code.path_at) - 1, np.int64)
+        packed, met = np.zeros(slots, np.int64), 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for begin, end in text_blocks(texts, COUNT_CHARS):
-                Symbols(code, index, texts[begin:end], windows=False).tally(total)
+                s = Symbols(code, index, texts[begin:end], windows=False)
+                if (met := met + len(s.node)) >= 1 << 30:  # before a half is full
+                    unpack(packed, total)
+                    packed[:], met = 0, len(s.node)
+                s.tally_contexts(packed)
+                np.add.at(n, s.symbol, 1)
+        unpack(packed, total)
+        code.tally(n, total)
         blobs = list(as_blobs(total, BLOB))
         for a in range(0, len(blobs), 16):
             yield _binary_rows([p for p, _ in blobs[a:a + 16]], [c for _, c in blobs[a:a + 16]])
@@ -440,7 +529,7 @@ def train(docs: DataFrame) -> Trained:
             texts = b.column(0).to_pylist()
             for begin, end in text_blocks(texts, COUNT_CHARS):
                 s = Symbols(code, index, texts[begin:end], windows=False)
-                tally_inputs(left_out(s, counts), s.bit, total)
+                tally_left_out(s, counts, total)
         blobs = list(as_blobs(total, BLOB))
         for a in range(0, len(blobs), 16):
             yield _binary_rows([p for p, _ in blobs[a:a + 16]], [c for _, c in blobs[a:a + 16]])
