@@ -141,6 +141,41 @@ def test_a_site_is_listed_in_few_cells(spark, monkeypatch):
         assert listed.pop() <= 8 * n
 
 
+def test_plans_do_not_grow_with_levels(spark, monkeypatch):
+    """The driver plans one join for the lists, or leaves, of all levels, and the cells of all levels share the bytes of one broadcast."""
+    monkeypatch.setattr(nearest, "DIRECT_SITES", 8)
+    closest, joins = nearest._closest_in_cells, {}
+    planned = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join ")
+
+    def counted(assigned, *rest, **more):
+        out = closest(assigned, *rest, **more)
+        joins[assigned.where("level IS NOT NULL").select("level").distinct().count()] = planned(out)
+        return out
+
+    monkeypatch.setattr(nearest, "_closest_in_cells", counted)
+    rng = random.Random(12)
+    spots = lambda n: [xy for wide in (0.4, 0.04, 0.004) for xy in scatter(rng, n, 102.0, 25.0, wide)]
+    points = [(i, *xy) for i, xy in enumerate(spots(100))]
+    sites = [(i, f"n{i % 90:03d}", *xy) for i, xy in enumerate(spots(200))]
+    p, s = (df.withColumn("g", F.lit("a")) for df in frames(spark, points, sites))
+    for halvings in (1, 6):
+        monkeypatch.setattr(nearest, "HALVINGS", halvings)
+        assert found(nearest.nearest_in_groups(p, s, ["id", "lng", "lat"])) == brute(points, sites, 1e9)
+    assert min(joins) == 1 and max(joins) >= 3 and len(set(joins.values())) == 1
+
+    cells = nearest._short_cells(s, 0.02, None)
+    sizes = [known.count() * 33 for _, known, _ in cells]
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", max(sizes))
+    small = [fits for _, _, fits in nearest._short_cells(s, 0.02, None)]
+    assert len(sizes) > 2 and any(small) and sum(n for n, fits in zip(sizes, small) if fits) <= max(sizes)
+
+    leaves = []
+    for most in (1000, 4):
+        monkeypatch.setattr(nearest, "LEAF_SITES", most)
+        leaves.append(planned(nearest._descend(p, s, ["id", "lng", "lat"], None, 4.0)))
+    assert leaves == [1, 1]
+
+
 def test_unusable_radius(spark, case):
     p, s = frames(spark, *case)
     for radius in (math.nan, -1.0, None):

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wattlink.functions.documents import document
 from wattlink.functions.geo import crosses
-from wattlink.operators.nearest import BROADCAST_BYTES
 from wattlink.operators.ranking import computed_once
 from wattlink.session import stored
 
 CELL_DEGREES = 0.5
 LEVELS = 8  # cells of the top level are 2^8 times as wide
+BROADCAST_BYTES = 64 * 1024 * 1024  # checked size of a broadcast cover
 
 
 def outer_rings(geojson: DataFrame, text: str = "body", keep: list[str] | None = None) -> DataFrame:
